@@ -1,7 +1,7 @@
 """The whole refresh: landing folders to bronze, silver, gold and the serving copy.
 
 Each layer is written before the next reads it, so no layer is computed twice and a lost executor costs at most the
-stage it was in. Run it with ``spark-submit -m`` style: ``python -m quotaline.plans.refresh LANDING OUT [SERVING]``.
+stage it was in. From a shell: ``python -m quotaline.plans.refresh LANDING OUT [SERVING]``.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from quotaline.session import configure
 from quotaline.sinks.clustered import write_clustered
 from quotaline.sinks.snapshot import read_gold, snapshot_sync
 from quotaline.sources.schemas import ENTITIES, GOLD_LAYOUT
-from quotaline.streaming.bronze import ingest, read_bronze
+from quotaline.streaming.bronze import read_bronze, start_ingest
 
 
 SILVER = {
@@ -70,10 +70,14 @@ def refresh(
 
     Returns the gold tables as written.
     """
-    for name in ENTITIES:
-        ingest(
+    running = [
+        start_ingest(
             spark, name, f"{landing}/{name}", f"{out}/bronze_{name}", f"{out}/checkpoints/{name}", max_bytes_per_trigger
         )
+        for name in ENTITIES
+    ]
+    for query in running:
+        query.awaitTermination()
     refresh_silver({name: read_bronze(spark, name, f"{out}/bronze_{name}") for name in ENTITIES}, out, strict, dedupe)
     refresh_gold(read_silver(spark, out), out)
     tables = read_gold(spark, out)

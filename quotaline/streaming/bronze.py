@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from quotaline.sinks.clustered import clustered
 from quotaline.sources.schemas import ENTITIES
@@ -30,15 +31,15 @@ def read_landing_stream(
     return with_audit_columns(reader.parquet(folder))
 
 
-def ingest(
+def start_ingest(
     spark: SparkSession,
     entity: str,
     folder: str,
     bronze: str,
     checkpoint: str,
     max_bytes_per_trigger: int | None = None,
-) -> None:
-    """Append the files not seen before to the bronze table, and return when they are all in.
+) -> StreamingQuery:
+    """Start appending the files not seen before to the bronze table; the query ends when they are all in.
 
     The checkpoint records which files each micro-batch holds, and a micro-batch writes one folder named by its
     number. A batch run again after a failure holds the same files and replaces its own folder, so no row is lost or
@@ -51,14 +52,25 @@ def ingest(
         clustered(rows, layout).write.mode("overwrite").parquet(f"{bronze}/{BATCH}={number}")
 
     stream = read_landing_stream(spark, entity, folder, max_bytes_per_trigger)
-    query = (
+    return (
         stream.writeStream.queryName(f"ingest_{entity}")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .foreachBatch(write_batch)
         .start()
     )
-    query.awaitTermination()
+
+
+def ingest(
+    spark: SparkSession,
+    entity: str,
+    folder: str,
+    bronze: str,
+    checkpoint: str,
+    max_bytes_per_trigger: int | None = None,
+) -> None:
+    """Ingest one entity and wait until it is done."""
+    start_ingest(spark, entity, folder, bronze, checkpoint, max_bytes_per_trigger).awaitTermination()
 
 
 def read_bronze(spark: SparkSession, entity: str, bronze: str) -> DataFrame:
