@@ -59,6 +59,8 @@ def main() -> None:
     spark = (
         configure(SparkSession.builder.master(f"local[{cpus}]").appName("quotaline-bench"))
         .config("spark.sql.shuffle.partitions", cpus)
+        # Sized for a few megabytes per table: the default of 64 MB would leave one file, and one task, per table.
+        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4mb")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

@@ -207,7 +207,7 @@ RELATIONS = {
                CAST(forecasted_amount * CASE line % 3 WHEN 0 THEN 0.90 WHEN 1 THEN 1.10 ELSE 1.00 END
                     AS DECIMAL(18,2)) AS adjusted_forecast,
                adjusted_forecast - original_forecast AS delta,
-               {_EPOCH} + to_seconds(num * 3660) AS submitted_at,
+               {_EPOCH} + to_seconds(num % 100000 * 3660) AS submitted_at,
                {_list([*CONFIDENCE, 'Undecided'])}[CAST(num % 6 + 1 AS INT)] AS confidence,
                CASE WHEN num % 3 = 0 THEN '' ELSE 'Risk, "' || num || '"' END AS risks,
                CASE WHEN num % 4 <> 0 THEN 'Upside ' || num END AS upside, '' AS notes
@@ -474,7 +474,7 @@ def statements() -> dict[str, str]:
         "append_override": _statement(
             f"""SELECT pct AS manager_override_pct, format('{{:+d}}%', pct) AS override_label,
                 'Review of ' || rep_id AS manager_notes,
-                strftime({_EPOCH} + to_seconds(CAST(substr(rep_id, 5) AS BIGINT) * 60), '%Y-%m-%d %H:%M:%S') AS approved_at,
+                strftime({_EPOCH} + to_seconds(CAST(substr(rep_id, 5) AS BIGINT) % 100000 * 60), '%Y-%m-%d %H:%M:%S') AS approved_at,
                 manager_name AS approved_by FROM override"""
         ),
         "export_csv": _rows("summary", _MONTHLY),

@@ -12,6 +12,7 @@ from quotaline.functions.labels import report_file_name
 from quotaline.operators import serving
 from quotaline.sinks.csv_report import export_csv
 
+# The report types, which also name the files.
 MONTHLY = "Monthly Sales Summary"
 DEALS = "Deal Pipeline Report"
 INVOICES = "Invoice Detail Report"

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame
 
 
 def clustered(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Bring rows with equal keys together and sort them, so row groups cover narrow key ranges.
+    """Bring rows with equal leading keys together, sorted by all keys.
 
-    A rebalance, not a range partitioning: it needs no sampling pass over the input, adaptive execution picks the
-    number of files from their size, and it splits a key that holds too many rows instead of giving it one task.
+    A file then holds few values of the leading key, so a filter on it skips whole files. A rebalance, not a range
+    partitioning: it needs no sampling pass over the input, adaptive execution picks the number of files from their
+    size, and it splits a value that holds too many rows (or copies of one row) instead of giving it one task.
     """
-    return df.hint("rebalance", *keys).sortWithinPartitions(*keys)
+    return df.hint("rebalance", keys[0]).sortWithinPartitions(*keys)
 
 
 def write_clustered(df: DataFrame, path: str, keys: Sequence[str]) -> None:

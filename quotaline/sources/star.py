@@ -62,6 +62,16 @@ def _text(value: Column) -> Column:
     return value.cast("string")
 
 
+def _moment(seconds: Column) -> Column:
+    """So many seconds into 2001, by the wall clock of any session zone."""
+    start = F.lit("2001-01-01 00:00:00").cast("timestamp_ntz")
+    return (start + F.make_dt_interval(secs=seconds)).cast("timestamp")
+
+
+def _rep_number() -> Column:
+    return F.substring_index("rep_id", "-", -1).cast("bigint")
+
+
 def _sign_flipped(amount: str, number: str, every: int) -> Column:
     return F.when(F.col(number) % every == 0, -F.col(amount)).otherwise(F.col(amount))
 
@@ -217,7 +227,7 @@ def sales_feedback(active_deals: DataFrame, sheet_size: int = 15) -> DataFrame:
         .filter(F.col("line") <= sheet_size)
         .withColumn("adjusted", (F.col("forecasted_amount") * factor.cast(S.RATIO)).cast(S.MONEY))
     )
-    number = F.substring_index("rep_id", "-", -1).cast("bigint")
+    number = _rep_number()
     entry = F.struct(
         "line",
         "deal_id",
@@ -230,7 +240,7 @@ def sales_feedback(active_deals: DataFrame, sheet_size: int = 15) -> DataFrame:
     return grouped.select(
         "rep_id",
         "rep_name",
-        F.timestamp_seconds(F.lit(978307200) + number * 3660).alias("submitted_at"),
+        _moment(number % 100_000 * 3660).alias("submitted_at"),
         F.element_at(
             F.array(*[F.lit(c) for c in (*S.CONFIDENCE_LEVELS, "Undecided")]), (number % 6 + 1).cast("int")
         ).alias("confidence"),
@@ -246,10 +256,10 @@ def sales_feedback(active_deals: DataFrame, sheet_size: int = 15) -> DataFrame:
 
 def manager_overrides(reps: DataFrame) -> DataFrame:
     """One override per rep, between -30 and 30 percent."""
-    number = F.substring_index("rep_id", "-", -1).cast("bigint")
+    number = _rep_number()
     return reps.select(
         (number % 61 - 30).cast("int").alias("manager_override_pct"),
         F.concat(F.lit("Review of "), F.col("rep_id")).alias("manager_notes"),
-        F.timestamp_seconds(F.lit(978307200) + number * 60).alias("approved_at"),
+        _moment(number % 100_000 * 60).alias("approved_at"),
         F.col("manager_name").alias("approved_by"),
     )
