@@ -322,7 +322,7 @@ _KPIS = (
 )
 _FORECAST = "month_date:d total_invoiced:m total_recognized:m total_weighted_pipeline:m blended_forecast:m"
 _SHEET = f"""
-    SELECT rep_id, deal_id, substr(deal_name, 1, 50) AS deal_name, stage,
+    SELECT rep_id, rep_name, deal_id, substr(deal_name, 1, 50) AS deal_name, stage,
            CAST(expected_close_date AS VARCHAR) AS expected_close_date, CAST(deal_amount AS DOUBLE) AS deal_amount,
            {_compact('deal_amount')} AS deal_amount_label, CAST(forecasted_amount AS DOUBLE) AS original_forecast,
            CAST(forecasted_amount AS DOUBLE) AS adjusted_forecast
@@ -402,6 +402,13 @@ def statements() -> dict[str, str]:
         ),
         "adjustment_sheet": _statement(_SHEET),
         "adjustment_sheet_rep": _statement(f"{_SHEET} {_OF_REP}"),
+        "feedback_submission": _statement(
+            """SELECT rep_id, rep_name, 'High' AS confidence, '' AS risks, '' AS upside, '' AS notes, deal_id,
+               CAST(forecasted_amount AS DOUBLE) AS original_forecast,
+               CAST(CASE WHEN stage = 'Negotiation' THEN forecasted_amount + 1000 ELSE forecasted_amount END AS DOUBLE)
+                 AS adjusted_forecast
+               FROM sheet"""
+        ),
         "explode_adjustments": _rows("adjustment", _ADJUSTMENT),
         "net_adjustment_total": _rows("net", "net_adjustment:m"),
         "monthly_forecast": _rows("month_total", _FORECAST),

@@ -26,6 +26,7 @@ def adjustment_sheet(deals: DataFrame, rep_id: str | None = None, rows: int = SH
         first = deals.filter(F.col("rep_id").isNotNull()).withColumn("place", place).filter(F.col("place") <= rows)
     return first.select(
         "rep_id",
+        "rep_name",
         "deal_id",
         short_name(F.col("deal_name")).alias("deal_name"),
         "stage",
@@ -37,6 +38,39 @@ def adjustment_sheet(deals: DataFrame, rep_id: str | None = None, rows: int = SH
     )
 
 
+def feedback_submission(
+    sheet: DataFrame,
+    edits: DataFrame,
+    confidence: str = "Medium",
+    risks: str = "",
+    upside: str = "",
+    notes: str = "",
+) -> DataFrame:
+    """One submission per rep of the sheet: its deals, at the edited amounts (rep_id, deal_id, adjusted_forecast) where
+    there are any and at their forecast otherwise. The array holds one sheet, so its length is bounded."""
+    changed = edits.select("rep_id", "deal_id", F.col("adjusted_forecast").cast(S.MONEY).alias("edited"))
+    lines = sheet.join(changed, ["rep_id", "deal_id"], "left")
+    entry = F.struct(
+        "expected_close_date",
+        "deal_id",
+        "original_forecast",
+        F.coalesce("edited", "adjusted_forecast").alias("adjusted_forecast"),
+    )
+    grouped = lines.groupBy("rep_id").agg(
+        F.max("rep_name").alias("rep_name"), F.array_sort(F.collect_list(entry)).alias("lines")
+    )
+    return grouped.select(
+        "rep_id",
+        "rep_name",
+        F.current_timestamp().alias("submitted_at"),
+        *[F.lit(v).alias(n) for n, v in zip(("confidence", "risks", "upside", "notes"), (confidence, risks, upside, notes))],
+        F.transform(
+            "lines",
+            lambda x: F.struct(*[x[c].alias(c) for c in ("deal_id", "original_forecast", "adjusted_forecast")]),
+        ).alias("adjustments"),
+    )
+
+
 def newest_submission_per_rep(feedback: DataFrame) -> DataFrame:
     """Only the last submission of each rep (opt-in: by default every resubmission counts again)."""
     columns = feedback.columns

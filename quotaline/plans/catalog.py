@@ -195,6 +195,13 @@ def _appended_overrides(lake: Lake) -> DataFrame:
     return review.override_summary(lake.spark.table(f"{namespace}.manager_overrides"))
 
 
+def _submitted(lake: Lake) -> DataFrame:
+    sheet = forecast.adjustment_sheet(lake.deals)
+    raised = (F.col("original_forecast") + 1000).alias("adjusted_forecast")
+    edits = sheet.filter(F.col("stage") == "Negotiation").select("rep_id", "deal_id", raised)
+    return _flat(forecast.feedback_submission(sheet, edits, confidence="High").drop("submitted_at"))
+
+
 def _exported(lake: Lake) -> DataFrame:
     rows = reports.report(lake.gold, reports.MONTHLY)
     path = reports.write_report(rows, lake.scratch("csv"), reports.MONTHLY, AS_OF)
@@ -240,6 +247,7 @@ _QUERIES: dict[str, Callable[[Lake], DataFrame]] = {
     # forecast and review
     "adjustment_sheet": lambda lake: forecast.adjustment_sheet(lake.deals),
     "adjustment_sheet_rep": lambda lake: forecast.adjustment_sheet(lake.deals, REP),
+    "feedback_submission": _submitted,
     "explode_adjustments": lambda lake: forecast.explode_adjustments(lake.feedback),
     "net_adjustment_total": lambda lake: forecast.net_adjustment_total(lake.feedback),
     "monthly_forecast": lambda lake: forecast.monthly_forecast(lake.summary),

@@ -248,8 +248,8 @@ def sales_feedback(active_deals: DataFrame, sheet_size: int = 15) -> DataFrame:
         F.when(number % 4 != 0, F.concat(F.lit("Upside "), _text(number))).alias("upside"),
         F.lit("").alias("notes"),
         F.transform(
-            "entries", lambda e: F.struct(e["deal_id"].alias("deal_id"), e["original_forecast"].alias("original_forecast"),
-                                          e["adjusted_forecast"].alias("adjusted_forecast"))
+            "entries",
+            lambda e: F.struct(*[e[c].alias(c) for c in ("deal_id", "original_forecast", "adjusted_forecast")]),
         ).alias("adjustments"),
     )
 

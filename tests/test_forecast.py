@@ -82,6 +82,20 @@ def test_sheet_takes_the_first_deals_by_close_date(spark, frames, tmp_path):
     assert executed_plan(every).count("WindowGroupLimit") == 2  # once before the shuffle
 
 
+def test_submission_takes_the_edits_over_the_forecast(frames):
+    rows = gold.gold_active_deals(
+        silver.silver_deals(frames.deals({"deal_id": "b"}, {"deal_id": "a"}, {"deal_id": "first", "expected_close_date": "2024-01-02"})),
+        silver.silver_sales_reps(frames.reps({"rep_id": "R1", "rep_name": "Ann"})),
+        silver.silver_customers(frames.customers()),
+    )
+    edits = frames.spark.createDataFrame([("R1", "a", 75.5), ("R2", "b", 1.0)], "rep_id string, deal_id string, adjusted_forecast double")
+    (row,) = forecast.feedback_submission(forecast.adjustment_sheet(rows, "R1"), edits, risks="late").collect()
+    assert (row.rep_id, row.rep_name, row.confidence, row.risks) == ("R1", "Ann", "Medium", "late")
+    assert [tuple(a) for a in row.adjustments] == [
+        ("first", dec("50"), dec("50")), ("a", dec("50"), dec("75.5")), ("b", dec("50"), dec("50")),
+    ]
+
+
 def test_every_resubmission_counts_unless_latest_only(frames):
     rows = submissions(frames)
     assert forecast.net_adjustment_total(rows).first().net_adjustment == dec("4.50")

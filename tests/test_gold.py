@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from quotaline.operators import gold, silver
 from quotaline.operators.serving import monthly_summary
+from quotaline.sinks.clustered import clustered
+from quotaline.sources.schemas import GOLD_LAYOUT
 from tests.conftest import day, dec, executed_plan
 
 
@@ -183,5 +185,7 @@ def test_hot_rep_and_missing_rep_are_split_in_lookups(spark, frames, shuffled):
     )
     plan = executed_plan(details)
     assert plan.count("SortMergeJoin(skew=true)") >= 1
+    written = executed_plan(clustered(details, GOLD_LAYOUT["gold_invoice_details"]))
+    assert "SortMergeJoin(skew=true)" in written and "REBALANCE" in written
     rows = details.agg(F.count("*").alias("n"), F.countDistinct("invoice_id").alias("ids"), F.count("rep_name").alias("named")).first()
     assert (rows.n, rows.ids, rows.named) == (n, n, 20_000)
