@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quotaline.llm import bpe, chat, packing, topk, unigram
+from quotaline.llm import bpe, chat, multi_index, packing, topk, unigram
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -42,8 +42,12 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return unigram.token_counts(table(spark, folder, "documents"), PIECES)
 
 
+def op9_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return multi_index.search(table(spark, folder, "embeddings"), lambda i: i % 20 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op4_chat_formatting, op5_bpe, op6_exact_top_k, op8_token_counts)}
+    return {f.__name__: f for f in (op2_packing, op4_chat_formatting, op5_bpe, op6_exact_top_k, op8_token_counts, op9_nearest_neighbours)}
 
 
 #: Formatted length of a turn: 12 + 11 characters of the template, a line feed, role and escaped text.
