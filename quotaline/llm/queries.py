@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quotaline.llm import bpe, chat, multi_index, packing, topk, unigram
+from quotaline.llm import bpe, chat, language, multi_index, packing, quality, topk, unigram
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -18,6 +18,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(table(spark, folder, "documents"), WORD_BPE, with_ids=False)
 
@@ -46,8 +50,12 @@ def op9_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return multi_index.search(table(spark, folder, "embeddings"), lambda i: i % 20 == 0)
 
 
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.predict(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op4_chat_formatting, op5_bpe, op6_exact_top_k, op8_token_counts, op9_nearest_neighbours)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_packing, op4_chat_formatting, op5_bpe, op6_exact_top_k, op8_token_counts, op9_nearest_neighbours, op10_language_id)}
 
 
 #: Formatted length of a turn: 12 + 11 characters of the template, a line feed, role and escaped text.
