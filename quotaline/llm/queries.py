@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quotaline.llm import bpe, chat, language, multi_index, packing, quality, topk, toxicity, unigram
+from quotaline.llm import bpe, chat, language, multi_index, neardup, packing, quality, topk, toxicity, unigram
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -46,6 +46,10 @@ def op6_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"), lambda i: i % 20 == 0)
 
 
+def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, folder, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return unigram.token_counts(table(spark, folder, "documents"), PIECES)
 
@@ -59,7 +63,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_packing, op3_toxicity, op4_chat_formatting, op5_bpe, op6_exact_top_k, op8_token_counts, op9_nearest_neighbours, op10_language_id)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_packing, op3_toxicity, op4_chat_formatting, op5_bpe, op6_exact_top_k, op7_near_duplicates, op8_token_counts, op9_nearest_neighbours, op10_language_id)}
 
 
 #: Formatted length of a turn: 12 + 11 characters of the template, a line feed, role and escaped text.
@@ -95,6 +99,25 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
+OP7_SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingled AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM worded WHERE len(w) > 0)
+), sized AS (SELECT doc_id, count(*) AS n FROM shingled GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingled a JOIN shingled b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM shared JOIN sized x ON a = x.doc_id JOIN sized y ON b = y.doc_id WHERE 100 * shared.n >= 85 * (x.n + y.n - shared.n)
+), ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(doc_id, r) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT reached.doc_id, ways.b FROM reached JOIN ways ON reached.r = ways.a
+)
+SELECT d.doc_id, coalesce(sized.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d LEFT JOIN sized USING (doc_id) JOIN (SELECT doc_id, min(r) AS component_id FROM reached GROUP BY doc_id) c USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": OP4_SQL, "op6_exact_top_k": OP6_SQL}
+    return {"op4_chat_formatting": OP4_SQL, "op6_exact_top_k": OP6_SQL, "op7_near_duplicates": OP7_SQL}
