@@ -269,6 +269,34 @@ def identify(documents: DataFrame, model: Model, with_spans: bool = True, id_col
     return documents.select(documents[id_col].alias("id"), documents[text_col].alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
+def accepted(documents: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, of which ``least`` of the letters are in one language."""
+    place = documents.columns.index(text_col)
+
+    def share(held):
+        scores, size, n_words = (np.concatenate([h[k] for h in held]) for k in range(3))
+        label = viterbi(scores, n_words, model.penalty)
+        n, n_langs = len(n_words), scores.shape[1]
+        letters_ = np.bincount(np.repeat(np.arange(n), n_words) * n_langs + label, weights=size, minlength=n * n_langs).reshape(n, n_langs)
+        return letters_.max(axis=1) / np.maximum(letters_.sum(axis=1), 1)
+
+    def run(batches):
+        own = scorer(model)
+        for batch in batches:
+            found, held, words = [np.zeros(0)], [], 0
+            for texts in tb.slices(batch.column(place)):
+                held.append(own.words(texts))
+                words += len(held[-1][1])
+                if words >= TOGETHER:
+                    found.append(share(held))
+                    held, words = [], 0
+            if held:
+                found.append(share(held))
+            yield batch.filter(pa.array(np.concatenate(found) >= least))
+
+    return documents.mapInArrow(run, documents.schema) if model.languages else documents.limit(0)
+
+
 def predict(documents: DataFrame, most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``id_col``, ``held_out``, ``lang_pred``, ``score`` of every document."""
     out = identify(documents, learn(documents, most, id_col, text_col, lang_col), False, id_col, text_col)

@@ -137,6 +137,18 @@ def scored(documents: DataFrame, model: gam.Gam, id_col: str = "doc_id", text_co
     return documents.select(documents[id_col].alias("id"), documents[text_col].alias("text")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
+def accepted(documents: DataFrame, model: gam.Gam, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose score is at least ``threshold``."""
+    place = documents.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            score = [model.score(shapes().features(texts)) for texts in tb.slices(batch.column(place))]
+            yield batch.filter(pa.array(np.concatenate([np.zeros(0), *score]) >= threshold))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def classify(documents: DataFrame, labels: DataFrame, threshold: float = 0.7, most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``held_out``, ``score``, ``predicted`` (1 from ``threshold``) of every document."""
     out = scored(documents, learn(documents, labels, most, "quality", id_col, text_col), id_col, text_col)
