@@ -8,8 +8,8 @@ smallest ids that are still wanted. Within a block, bins below its own k-th scor
 left out, as are ties beyond the wanted number; both are exact.
 
 Vectors of different dimensions do not meet. Null, non-finite or empty vectors and rows without id take no part; rows
-that repeat an id count once, with the smallest of their vectors; scores beyond 64 bits wrap. Other columns are
-ignored. An empty table, or one without queries, gives no rows.
+that repeat an id count once, with the smallest of their vectors; scores are exact up to 2**61 in size. Other columns
+are ignored. An empty table, or one without queries, gives no rows.
 """
 
 from __future__ import annotations
@@ -49,7 +49,7 @@ def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 20,
     bound = (longest or 0.0) * (longest_query or 0.0)
     entries = cut(V.blocks(V.numbered(rows, n_entry)))
     queries = V.numbered(rows.where(is_query(F.col("id"))), n_query)
-    reach = F.least(F.ceil(F.col("norm") * (longest or 0.0)) + 1, F.lit(1 << 62))
+    reach = F.least(F.col("norm") * (longest or 0.0) * 1.000001, F.lit(2.0**61)).cast("long") + 2
     state = queries.select("id", "dim", "block", "vec", (-reach).alias("low"), reach.alias("high"), F.lit(k).cast("long").alias("need"))
     kind = vectors.schema[id_col].dataType.simpleString()
 

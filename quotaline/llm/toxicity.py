@@ -218,18 +218,27 @@ def _documents_with(rows: DataFrame, wanted: set[str] | None) -> DataFrame:
 
 
 def _curve(raw: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, float, float]:
-    """A logistic curve by Newton's method; a slope that would be negative is left at zero."""
+    """A logistic curve by Newton's method with halved steps; a slope that would be negative is left at zero."""
     x = np.column_stack([np.ones(len(y)), np.minimum(raw, 20)])
-    w, own = np.array([-3.0, 0.0, 0.0]), np.diag([0.01, ridge, ridge])
-    use = [0, 1, 2]
+    own, use = np.diag([0.01, ridge, ridge]), [0, 1, 2]
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + 0.5 * w @ own @ w)
+
     while True:
-        for _ in range(30):
-            p = sigmoid(x @ w)
-            part = x[:, use]
-            w[use] += np.linalg.solve((part * (p * (1 - p))[:, None]).T @ part + own[np.ix_(use, use)], part.T @ (y - p) - (own @ w)[use])
+        w = np.zeros(3)
+        for _ in range(50):
+            p, part = sigmoid(x @ w), x[:, use]
+            step = np.zeros(3)
+            step[use] = np.linalg.solve((part * (p * (1 - p))[:, None]).T @ part + own[np.ix_(use, use)], (x.T @ (y - p) - own @ w)[use])
+            while loss(w + step) > loss(w) and np.abs(step).max() > 1e-9:
+                step /= 2
+            w = w + step
+            if np.abs(step).max() < 1e-7:
+                break
         if not (bad := [k for k in use[1:] if w[k] < 0]):
             return tuple(w.tolist())
-        w[:] = (-3.0, 0.0, 0.0)
         use.remove(bad[0])
 
 
