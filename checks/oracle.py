@@ -11,11 +11,8 @@ import re
 REGION = "ASIA"
 REP = "REP-000003"
 
-# Product categories, funnel stages and confidence levels in order.
-CATEGORIES = [
-    "Servers & Storage", "Networking Equipment", "Endpoint Devices", "Security Solutions", "Cloud Infrastructure",
-    "Collaboration Tools", "Software Licensing", "Managed Services",
-]
+# Fixture categories; fixed values: funnel stages and confidence levels in order.
+CATEGORIES = [f"Line {letter}" for letter in "ABCDEFGH"]
 STAGES = ["Prospecting", "Discovery", "Proposal Sent", "Negotiation", "Verbal Commit"]
 CONFIDENCE = ["Very Low", "Low", "Medium", "High", "Very High"]
 ICONS = ["🔴", "🟠", "🟡", "🟢", "🟣"]
@@ -69,9 +66,9 @@ RELATIONS = {
         SELECT {_rep('s_suppkey + 1')} AS rep_id,
                CASE WHEN s_suppkey % 50 <> 49 THEN s_name END AS rep_name,
                lower(s_name) || '@example.com' AS email, r_name AS region,
-               CASE WHEN s_suppkey % 20 < 10 THEN 'Account Executive'
-                    WHEN s_suppkey % 20 < 17 THEN 'Senior Account Executive'
-                    ELSE 'Strategic Account Manager' END AS role,
+               CASE WHEN s_suppkey % 20 < 10 THEN 'Field'
+                    WHEN s_suppkey % 20 < 17 THEN 'Key Account'
+                    ELSE 'Principal' END AS role,
                'Manager ' || r_name AS manager_name,
                CAST(DATE '2015-01-01' + CAST(s_suppkey * 7 % 2000 AS INT) AS VARCHAR) AS hire_date,
                500000 + s_acctbal * 100 AS annual_quota
@@ -79,8 +76,8 @@ RELATIONS = {
     "raw_customers": f"""
         SELECT {_cust('c_custkey + 1')} AS customer_id,
                CASE WHEN c_custkey % 100 <> 99 THEN c_name END AS customer_name, c_mktsegment AS vertical,
-               CASE WHEN c_custkey % 20 < 3 THEN 'Enterprise' WHEN c_custkey % 20 < 10 THEN 'Mid-Market'
-                    ELSE 'SMB' END AS tier,
+               CASE WHEN c_custkey % 20 < 3 THEN 'Large' WHEN c_custkey % 20 < 10 THEN 'Middle'
+                    ELSE 'Small' END AS tier,
                r_name AS region, {_rep(f'c_custkey % {_REPS} + 1')} AS assigned_rep_id,
                CAST(DATE '2018-01-01' + CAST(c_custkey % 1500 AS INT) AS VARCHAR) AS created_date
         FROM customer JOIN place ON c_nationkey = n_nationkey""",
@@ -98,10 +95,10 @@ RELATIONS = {
                     WHEN l_partkey % 20 < 16 THEN CAST(25 + l_suppkey % 51 AS DOUBLE) / 100
                     WHEN l_partkey % 20 < 19 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE)
                END AS revenue_recognized_pct,
-               CASE WHEN l_suppkey = 0 THEN 'Managed Services' ELSE {_category('l_partkey', 7)} END AS product_category,
+               CASE WHEN l_suppkey = 0 THEN 'Line H' ELSE {_category('l_partkey', 7)} END AS product_category,
                'PO-' || (100000 + l_orderkey % 900000) AS po_number,
-               CASE WHEN l_linenumber % 10 < 4 THEN 'Net 30' WHEN l_linenumber % 10 < 7 THEN 'Net 45'
-                    ELSE 'Net 60' END AS payment_terms
+               CASE WHEN l_linenumber % 10 < 4 THEN '14 days' WHEN l_linenumber % 10 < 7 THEN '28 days'
+                    ELSE '56 days' END AS payment_terms
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "raw_orders": f"""
         SELECT {_code('ORD', 'o_orderkey + 1', 9)} AS order_id, {_cust('o_custkey + 1')} AS customer_id,
@@ -129,9 +126,9 @@ RELATIONS = {
                {_PROBABILITY} AS probability, {_category('o_orderkey', 8)} AS product_category,
                CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS created_date,
                CAST({_CLOSE} AS VARCHAR) AS expected_close_date,
-               CASE o_orderkey % 9 WHEN 0 THEN 'New Business' WHEN 3 THEN 'Expansion' ELSE 'Renewal' END AS deal_type,
+               CASE o_orderkey % 9 WHEN 0 THEN 'First' WHEN 3 THEN 'Upgrade' ELSE 'Repeat' END AS deal_type,
                CASE WHEN o_orderkey % 2 = 0 THEN 'Schedule demo' ELSE 'Send proposal' END AS next_step
-        FROM orders WHERE o_orderkey % 3 = 0""",
+        FROM orders""",
     "silver_sales_reps": """
         SELECT * REPLACE (CAST(hire_date AS DATE) AS hire_date, CAST(annual_quota AS DECIMAL(18,2)) AS annual_quota)
         FROM raw_sales_reps WHERE rep_id IS NOT NULL AND rep_name IS NOT NULL""",
@@ -239,11 +236,6 @@ RELATIONS = {
     "override": """
         SELECT CAST(CAST(substr(rep_id, 5) AS BIGINT) % 61 - 30 AS INT) AS pct, rep_id, manager_name
         FROM silver_sales_reps""",
-    "table_total": """
-        SELECT 'gold_rep_monthly_summary' AS table_name, count(*) AS n, sum(blended_forecast) AS total FROM summary
-        UNION ALL SELECT 'gold_active_deals', count(*), sum(deal_amount) FROM active
-        UNION ALL SELECT 'gold_invoice_details', count(*), sum(invoice_amount) FROM details
-        UNION ALL SELECT 'gold_category_summary', count(*), sum(total_invoiced) FROM category_month""",
 }
 
 _NEEDS = {
@@ -347,9 +339,53 @@ _RAW_COUNTS = {e: f"raw_{e}" for e in _ENTITIES}
 _PROFILED = {"sales_reps": "region", "customers": "tier", "invoices": "status", "orders": "ship_status", "deals": "stage"}
 
 
+def _selected(columns: str) -> str:
+    """The SELECT list of ``_rows`` alone."""
+    return _rows("nothing_here", columns).split(" FROM nothing_here")[0]
+
+
+def _stacked(tables: dict[str, tuple[str, str]]) -> str:
+    """All rows and columns of some relations, by column name: table name to (relation, columns)."""
+    parts = [f"{_selected(columns)}, '{name}' AS table_name FROM {source}" for name, (source, columns) in tables.items()]
+    return _statement(" UNION ALL BY NAME ".join(parts))
+
+
+def _under(where: str) -> str:
+    """Monthly totals of the summary under the page's filter."""
+    sums = ", ".join(
+        f"sum({c}) AS {c}"
+        for c in (
+            "total_invoiced", "total_recognized", "total_confirmed_orders", "total_pipeline_value",
+            "total_weighted_pipeline", "blended_forecast",
+        )
+    )
+    return f"(SELECT month_date, {sums} FROM summary {where} AND month_date IS NOT NULL GROUP BY month_date) m"
+
+
+def _forecast_under(where: str, feedback: str) -> str:
+    """The forecast under the page's filter, with the feedback that passes its own."""
+    net = f"CAST((SELECT coalesce(sum(delta), 0) FROM adjustment {feedback}) AS DOUBLE)"
+    return (
+        f"(SELECT *, {net} AS net_adjustment, CAST(blended_forecast AS DOUBLE) + {net} / (SELECT count(*) FROM {_under(where)}) "
+        f"AS rep_adjusted_forecast FROM {_under(where)}) f"
+    )
+
+
 def statements() -> dict[str, str]:
     """Oracle SQL by query name."""
-    table_totals = _rows("table_total", "table_name n total:m")
+    gold_tables = _stacked({
+        "gold_rep_monthly_summary": ("summary", _SUMMARY),
+        "gold_active_deals": ("active", _ACTIVE),
+        "gold_invoice_details": ("details", _DETAILS),
+        "gold_category_summary": ("category_month", _CATEGORY),
+    })
+    silver_columns = {
+        "sales_reps": f"{_REP_COLUMNS} hire_date:d annual_quota:m",
+        "customers": f"{_CUSTOMER_COLUMNS} created_date:d",
+        "invoices": _SILVER_INVOICE,
+        "orders": f"{_ORDER_COLUMNS} order_amount:m",
+        "deals": _DEAL_COLUMNS,
+    }
     return {
         "silver_sales_reps": _rows("silver_sales_reps", f"{_REP_COLUMNS} hire_date:d annual_quota:m"),
         "silver_customers": _rows("silver_customers", f"{_CUSTOMER_COLUMNS} created_date:d"),
@@ -391,6 +427,26 @@ def statements() -> dict[str, str]:
         "monthly_trend": _rows(
             "month_total", "month_date:d total_invoiced:m total_recognized:m total_confirmed_orders:m"
         ),
+        "current_month_kpis_rep": _rows(_under(_OF_REP), _KPIS, _LAST_MONTH),
+        "current_month_kpis_region": _rows(_under(_OF_REGION), _KPIS, _LAST_MONTH),
+        "current_month_kpi_labels": _statement(
+            "SELECT CAST(month_date AS VARCHAR) AS month_date, "
+            + ", ".join(f"{_compact(c.split(':')[0])} AS {c.split(':')[0]}" for c in _KPIS.split()[1:])
+            + f" FROM month_total {_LAST_MONTH}"
+        ),
+        **{
+            f"monthly_trend_{which}": _rows(
+                _under(where), "month_date:d total_invoiced:m total_recognized:m total_confirmed_orders:m"
+            )
+            for which, where in (("rep", _OF_REP), ("region", _OF_REGION))
+        },
+        **{
+            f"deals_by_stage_{which}": _statement(
+                'SELECT stage, CAST(sum(deal_amount) AS DOUBLE) AS total, count(deal_id) AS "count" '
+                f"FROM active {where} GROUP BY stage"
+            )
+            for which, where in (("rep", _OF_REP), ("region", _IN_REGION))
+        },
         "deals_by_stage": _statement(
             'SELECT stage, CAST(sum(deal_amount) AS DOUBLE) AS total, count(deal_id) AS "count" FROM active GROUP BY stage'
         ),
@@ -421,6 +477,13 @@ def statements() -> dict[str, str]:
             )
             + ", round(rep_adjusted_forecast * 1.05, 2) AS rep_adjusted_forecast FROM forecast"
         ),
+        "rep_adjusted_forecast_rep": _rows(_forecast_under(_OF_REP, _OF_REP), f"{_FORECAST} rep_adjusted_forecast:r"),
+        "rep_adjusted_forecast_region": _rows(_forecast_under(_OF_REGION, ""), f"{_FORECAST} rep_adjusted_forecast:r"),
+        "forecast_totals_region": _statement(
+            "SELECT CAST(sum(total_invoiced) AS DOUBLE) AS total_invoiced, CAST(sum(blended_forecast) AS DOUBLE) AS system_forecast, "
+            "round(CAST(sum(blended_forecast) AS DOUBLE) + max(net_adjustment), 2) AS rep_adjusted_forecast, "
+            f"round(max(net_adjustment), 2) AS delta FROM {_forecast_under(_OF_REGION, '')}"
+        ),
         "forecast_totals": _rows(
             "forecast_total", "total_invoiced:m system_forecast:m rep_adjusted_forecast:r delta:r"
         ),
@@ -450,7 +513,9 @@ def statements() -> dict[str, str]:
         "nonzero_adjustments": _rows("adjustment", _ADJUSTMENT, "WHERE original_forecast <> adjusted_forecast"),
         "report_monthly": _rows("summary", _MONTHLY),
         "report_deals": _rows("active", _ACTIVE, _IN_REGION),
-        "report_invoices": _rows("details", _DETAILS, f"{_OF_REP} {_NEWEST}"),
+        "report_invoices": _rows("details", _DETAILS),
+        "report_invoices_rep": _rows("details", _DETAILS, _OF_REP),
+        "report_invoices_rows": _rows("details", _DETAILS, f"{_OF_REP} {_NEWEST}"),
         "report_forecast": _rows("summary", _MONTHLY, _OF_REGION),
         "report_monthly_span": _rows("summary", _MONTHLY, "WHERE month_date BETWEEN '1998-01-01' AND '1998-12-31'"),
         "report_row_count": _statement("SELECT count(*) AS n FROM active"),
@@ -471,12 +536,14 @@ def statements() -> dict[str, str]:
             "WHERE stage IS NULL OR stage NOT IN ('Closed Won', 'Closed Lost')"
         ),
         **{f"ingest_{e}": _statement(f"SELECT *, TRUE AS audited FROM raw_{e}") for e in _ENTITIES},
-        "land_parquet": _profile(_RAW_COUNTS),
+        "land_parquet": _statement(
+            " UNION ALL BY NAME ".join(f"SELECT *, '{e}' AS table_name FROM raw_{e}" for e in _ENTITIES)
+        ),
         "write_clustered": _rows("silver_invoices", _SILVER_INVOICE),
-        "refresh_silver": _profile({e: f"silver_{e}" for e in _ENTITIES}),
-        "refresh_gold": table_totals,
+        "refresh_silver": _stacked({e: (f"silver_{e}", silver_columns[e]) for e in _ENTITIES}),
+        "refresh_gold": gold_tables,
         "refresh_all": _rows("summary", _SUMMARY),
-        "snapshot_sync": table_totals,
+        "snapshot_sync": gold_tables,
         "append_feedback": _rows("adjustment", _FEEDBACK),
         "append_override": _statement(
             f"""SELECT pct AS manager_override_pct, format('{{:+d}}%', pct) AS override_label,

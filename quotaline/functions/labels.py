@@ -8,8 +8,6 @@ from datetime import date
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quotaline.sources.schemas import CONFIDENCE_LEVELS
-
 # Amounts are rounded once, from this type. Cents alone would round quotients twice; dividing it by a million
 # still loses no digit.
 _EXACT = "decimal(28,8)"
@@ -71,10 +69,6 @@ def position_in(value: Column, ordered: Sequence[str]) -> Column:
     return F.coalesce(F.nullif(place, F.lit(0)), F.lit(len(ordered) + 1)).cast("int")
 
 
-def confidence_rank(level: Column) -> Column:
-    return position_in(level, CONFIDENCE_LEVELS)
-
-
 def confidence_icon(level: Column) -> Column:
     icons = F.create_map(*[F.lit(x) for pair in CONFIDENCE_ICONS.items() for x in pair])
     return F.coalesce(F.try_element_at(icons, level), F.lit(OTHER_ICON))

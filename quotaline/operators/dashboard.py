@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotaline.functions.labels import position_in
+from quotaline.functions.labels import compact_dollars, position_in
 from quotaline.sources import schemas as S
 
 KPIS = ("total_invoiced", "total_recognized", "total_confirmed_orders", "total_pipeline_value", "total_weighted_pipeline")
@@ -34,13 +34,21 @@ def current_month_kpis(summary: DataFrame, as_of: date | None = None) -> DataFra
     return months.orderBy(F.desc("month_date")).limit(1)
 
 
+def current_month_kpi_labels(kpis: DataFrame) -> DataFrame:
+    """The current month's totals as they stand on the cards."""
+    return kpis.select("month_date", *[compact_dollars(F.col(k)).alias(k) for k in KPIS])
+
+
 def monthly_trend(summary: DataFrame) -> DataFrame:
     names = ("total_invoiced", "total_recognized", "total_confirmed_orders")
     return _by_month(summary, *names).orderBy("month_date")
 
 
 def pipeline_by_stage(deals: DataFrame) -> DataFrame:
-    """Value and number of open deals by stage, in funnel order; stages outside the funnel come last."""
+    """Value and number of open deals by stage, in funnel order; stages outside the funnel come last.
+
+    Needs no rep or customer: silver deals that are not won do as well as the gold table.
+    """
     stages = deals.filter(F.col("stage").isNotNull()).groupBy("stage")
     totals = stages.agg(F.sum("deal_amount").alias("total"), F.count("deal_id").alias("count"))
     return totals.orderBy(position_in(F.col("stage"), S.OPEN_STAGES), "stage")

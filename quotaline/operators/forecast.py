@@ -12,10 +12,12 @@ SHEET_SIZE = 15
 _MONTHLY = ("total_invoiced", "total_recognized", "total_weighted_pipeline", "blended_forecast")
 
 
-def adjustment_sheet(deals: DataFrame, rep_id: str | None = None, rows: int = SHEET_SIZE) -> DataFrame:
+def adjustment_sheet(
+    deals: DataFrame, rep_id: str | None = None, rows: int = SHEET_SIZE, reps: DataFrame | None = None
+) -> DataFrame:
     """The deals a rep may adjust: the first by close date, each starting at its forecast.
 
-    For one rep this is a top-k. For all reps it ranks within each rep; the rank filter is applied on the map side as
+    ``deals`` hold the rep's name, or ``reps`` does: then it is looked up for the rows of the sheet only. For one rep this is a top-k. For all reps it ranks within each rep; the rank filter is applied on the map side as
     well, so a rep with very many deals sends at most ``rows`` of them per task.
     """
     by_close = [F.asc_nulls_last("expected_close_date"), F.asc("deal_id")]
@@ -24,6 +26,8 @@ def adjustment_sheet(deals: DataFrame, rep_id: str | None = None, rows: int = SH
     else:
         place = F.row_number().over(Window.partitionBy("rep_id").orderBy(*by_close))
         first = deals.filter(F.col("rep_id").isNotNull()).withColumn("place", place).filter(F.col("place") <= rows)
+    if reps is not None:
+        first = first.join(reps.select("rep_id", "rep_name"), "rep_id", "left")
     return first.select(
         "rep_id",
         "rep_name",
@@ -47,14 +51,26 @@ def feedback_submission(
     notes: str = "",
 ) -> DataFrame:
     """One submission per rep of the sheet: its deals, at the edited amounts (rep_id, deal_id, adjusted_forecast) where
-    there are any and at their forecast otherwise. The array holds one sheet, so its length is bounded."""
-    changed = edits.select("rep_id", "deal_id", F.col("adjusted_forecast").cast(S.MONEY).alias("edited"))
-    lines = sheet.join(changed, ["rep_id", "deal_id"], "left")
+    there are any and at their forecast otherwise, in the sheet's order.
+
+    The rules of the form hold: an edit is of a line of the sheet, there is one per line, and its amount is a number
+    not below zero; anything else is an error. The array holds one sheet, so its length is bounded by the sheet's.
+    """
+    amount = F.col("adjusted_forecast").cast(S.MONEY)
+    changed = edits.groupBy("rep_id", "deal_id").agg(F.count("*").alias("times"), F.max(amount).alias("edited"))
+    lines = sheet.withColumn("line", F.lit(True)).join(changed, ["rep_id", "deal_id"], "full")
+    checked = (
+        F.when(F.col("line").isNull(), F.raise_error(F.concat(F.lit("edit of a deal that is not in the sheet: "), F.coalesce("deal_id", F.lit("null")))))
+        .when(F.col("times") > 1, F.raise_error(F.concat(F.lit("more than one edit of deal "), F.col("deal_id"))))
+        .when(F.col("times").isNotNull() & F.coalesce(F.col("edited") < 0, F.lit(True)), F.raise_error(F.concat(F.lit("no amount, or one below zero, for deal "), F.col("deal_id"))))
+        .otherwise(F.coalesce("edited", "adjusted_forecast"))
+    )
     entry = F.struct(
+        F.col("expected_close_date").isNull().alias("undated"),
         "expected_close_date",
         "deal_id",
         "original_forecast",
-        F.coalesce("edited", "adjusted_forecast").alias("adjusted_forecast"),
+        checked.alias("adjusted_forecast"),
     )
     grouped = lines.groupBy("rep_id").agg(
         F.max("rep_name").alias("rep_name"), F.array_sort(F.collect_list(entry)).alias("lines")

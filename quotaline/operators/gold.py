@@ -40,12 +40,13 @@ def _order_facts(orders: DataFrame) -> DataFrame:
     )
 
 
-def _not_won(deals: DataFrame) -> DataFrame:
+def open_deals(deals: DataFrame) -> DataFrame:
+    """Deals that are not won, without their rep and customer."""
     return deals.filter(F.col("stage") != S.STAGE_WON)
 
 
 def _deal_facts(deals: DataFrame) -> DataFrame:
-    return _not_won(deals).select(
+    return open_deals(deals).select(
         "rep_id",
         month_of("expected_close_date").alias("month_date"),
         F.col("deal_amount").alias("total_pipeline_value"),
@@ -126,7 +127,7 @@ _CONTEXT = ("rep_id", "rep_name", "rep_region", "customer_id", "customer_name",
 
 def gold_active_deals(deals: DataFrame, reps: DataFrame, customers: DataFrame) -> DataFrame:
     """Deals that are not won, with their rep and customer."""
-    return _with_rep_and_customer(_not_won(deals), reps, customers).select(
+    return _with_rep_and_customer(open_deals(deals), reps, customers).select(
         "deal_id", "deal_name", *_CONTEXT, "stage", "deal_amount", "forecasted_amount", "probability",
         "product_category", "created_date", "expected_close_date", "deal_type", "next_step",
     )

@@ -10,10 +10,10 @@ from quotaline.operators.forecast import explode_adjustments
 
 
 def _net_adjustment() -> Column:
-    """Sum over one submission's array, in place; an empty or missing array is zero."""
+    """Sum over one submission's array, in place; an empty or missing array is zero, as is a delta without an amount."""
     zero = F.lit(0).cast("decimal(28,2)")
     deltas = F.transform("adjustments", lambda a: a["adjusted_forecast"] - a["original_forecast"])
-    total = F.aggregate(deltas, zero, lambda acc, x: (acc + x).cast("decimal(28,2)"))
+    total = F.aggregate(deltas, zero, lambda acc, x: (acc + F.coalesce(x, zero)).cast("decimal(28,2)"))
     return F.coalesce(total, zero)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quotaline.operators.gold import gold_category_summary
+from quotaline.sinks.app_tables import decoded
 from quotaline.sources import schemas as S
 
 DRILL_DOWN_ROWS = 500
@@ -70,11 +71,12 @@ def active_deals(deals: DataFrame, rep_id: str | None = None, region: str | None
 
 
 def invoice_details(
-    invoices: DataFrame, rep_id: str | None = None, region: str | None = None, rows: int = DRILL_DOWN_ROWS
+    invoices: DataFrame, rep_id: str | None = None, region: str | None = None, rows: int | None = DRILL_DOWN_ROWS
 ) -> DataFrame:
-    """The newest invoices: a top-k, so each task keeps only its own best rows."""
+    """The newest ``rows`` invoices: a top-k, so each task keeps only its own best rows. With None, all of them."""
     newest = F.desc_nulls_first("invoice_date")
-    return _filtered(invoices, build_filter(rep_id, region)).orderBy(newest, "invoice_id").limit(rows)
+    ordered = _filtered(invoices, build_filter(rep_id, region)).orderBy(newest, "invoice_id")
+    return ordered if rows is None else ordered.limit(rows)
 
 
 def category_summary(
@@ -100,6 +102,6 @@ def category_summary_within(invoices: DataFrame, region: str) -> DataFrame:
 def read_feedback(submissions: DataFrame, rep_id: str | None = None) -> DataFrame:
     """Feedback submissions, newest first, with the adjustments decoded when they are stored as JSON text."""
     if isinstance(submissions.schema["adjustments"].dataType, T.StringType):
-        submissions = submissions.withColumn("adjustments", F.from_json("adjustments", S.ADJUSTMENTS))
+        submissions = submissions.withColumn("adjustments", decoded(F.col("adjustments")))
     ties = [c for c in ("rep_id", "id") if c in submissions.columns]
     return _filtered(submissions, build_filter(rep_id)).orderBy(F.desc_nulls_first("submitted_at"), *ties)

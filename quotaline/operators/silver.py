@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from quotaline.functions.typed import day, money, ratio
 from quotaline.sources import schemas as S
 
-INGEST_TIME = "_ingested_at"
+INGEST_TIME, INGEST_BATCH = "_ingested_at", "ingest_batch"
 
 
 def _carried(df: DataFrame) -> list[str]:
-    """The ingest time is carried where the input has one; the source file is not."""
-    return [INGEST_TIME] if INGEST_TIME in df.columns else []
+    """The time and the batch of the ingest are carried where the input has them; the source file is not."""
+    return [c for c in (INGEST_TIME, INGEST_BATCH) if c in df.columns]
 
 
 def silver_sales_reps(bronze: DataFrame, strict: bool = True) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
 from datetime import date
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,14 +76,27 @@ class Lake:
     def categories(self) -> DataFrame:
         return self.gold["gold_category_summary"]
 
+    @cached_property
+    def open_deals(self) -> DataFrame:
+        """Open deals without their rep and customer, for what needs neither."""
+        return gold.open_deals(self.silver["deals"])
+
     @cached_property
     def feedback(self) -> DataFrame:
-        return star.sales_feedback(self.deals)
+        return star.sales_feedback(self.open_deals, self.silver["sales_reps"])
+
+    def sheet(self, rep_id: str | None = None) -> DataFrame:
+        return forecast.adjustment_sheet(self.open_deals, rep_id, reps=self.silver["sales_reps"])
 
     @cached_property
     def forecast(self) -> DataFrame:
         return forecast.rep_adjusted_forecast(self.summary, self.feedback)
 
+    def forecast_of(self, rep_id: str | None = None, region: str | None = None) -> DataFrame:
+        """The forecast under the page's filter, which for feedback is the rep only."""
+        months = serving.monthly_summary(self.summary, rep_id, region)
+        return forecast.rep_adjusted_forecast(months, serving.read_feedback(self.feedback, rep_id))
+
     def scratch(self, label: str) -> str:
         return scratch_folder(self.spark, label)
 
@@ -122,9 +135,15 @@ def _ingested(lake: Lake, entity: str) -> DataFrame:
     return rows.select(*ENTITIES[entity].schema.names, audited.alias("audited"))
 
 
+def _stacked(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """All rows and all columns of some tables in one, by column name."""
+    named = [df.select(F.lit(name).alias("table_name"), *df.columns) for name, df in tables.items()]
+    return reduce(lambda above, below: above.unionByName(below, allowMissingColumns=True), named)
+
+
 def _landed(lake: Lake) -> DataFrame:
-    folders = land_parquet(lake.raw, lake.scratch("landing"))
-    return profile.profile_counts({name: lake.spark.read.parquet(path) for name, path in folders.items()})
+    paths = land_parquet(lake.raw, lake.scratch("landing"))
+    return _stacked({name: lake.spark.read.parquet(path) for name, path in paths.items()})
 
 
 def _clustered(lake: Lake) -> DataFrame:
@@ -133,27 +152,10 @@ def _clustered(lake: Lake) -> DataFrame:
     return lake.spark.read.parquet(path)
 
 
-_TOTALS = {
-    "gold_rep_monthly_summary": "blended_forecast",
-    "gold_active_deals": "deal_amount",
-    "gold_invoice_details": "invoice_amount",
-    "gold_category_summary": "total_invoiced",
-}
-
-
-def _table_totals(tables: Mapping[str, DataFrame]) -> DataFrame:
-    parts = None
-    for name, amount in _TOTALS.items():
-        part = tables[name].agg(F.count("*").alias("n"), F.sum(amount).cast("decimal(38,2)").alias("total"))
-        part = part.select(F.lit(name).alias("table_name"), "n", "total")
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
-
-
 def _synced(lake: Lake) -> DataFrame:
     folder = lake.scratch("serving")
     snapshot_sync(lake.gold, folder)
-    return _table_totals(read_gold(lake.spark, folder))
+    return _stacked(read_gold(lake.spark, folder))
 
 
 def _refreshed(lake: Lake) -> DataFrame:
@@ -166,37 +168,40 @@ def _refreshed(lake: Lake) -> DataFrame:
 def _refreshed_silver(lake: Lake) -> DataFrame:
     folder = lake.scratch("silver")
     refresh.refresh_silver(lake.raw, folder)
-    return profile.profile_counts(refresh.read_silver(lake.spark, folder))
+    return _stacked(refresh.read_silver(lake.spark, folder))
 
 
 def _refreshed_gold(lake: Lake) -> DataFrame:
     folder = lake.scratch("gold")
     refresh.refresh_gold(lake.silver, folder)
-    return _table_totals(read_gold(lake.spark, folder))
+    return _stacked(read_gold(lake.spark, folder))
 
 
-def _app_namespace(lake: Lake) -> str:
+def _appended(lake: Lake, table: str, append: Callable[[DataFrame, str], None], rows: DataFrame) -> DataFrame:
+    """Append to a table of a schema made for it; what comes back reads the files, and the schema goes again."""
     folder = lake.scratch("app")
     namespace = "app_" + folder.rsplit("-", 1)[-1]
-    app_tables.ensure_namespace(lake.spark, namespace, folder)
-    app_tables.ensure_app_tables(lake.spark, namespace)
-    return namespace
+    app_tables.ensure_namespace(lake.spark, namespace)
+    try:
+        app_tables.ensure_app_tables(lake.spark, namespace, folder)
+        append(rows, namespace)
+        return lake.spark.read.schema(app_tables.TABLES[table]).parquet(f"{folder}/{table}")
+    finally:
+        lake.spark.sql(f"DROP SCHEMA {namespace} CASCADE")
 
 
 def _appended_feedback(lake: Lake) -> DataFrame:
-    namespace = _app_namespace(lake)
-    app_tables.append_feedback(app_tables.adjustments_as_json(lake.feedback), namespace)
-    return _flat(serving.read_feedback(lake.spark.table(f"{namespace}.sales_feedback")))
+    rows = app_tables.adjustments_as_json(lake.feedback)
+    return _flat(serving.read_feedback(_appended(lake, "sales_feedback", app_tables.append_feedback, rows)))
 
 
 def _appended_overrides(lake: Lake) -> DataFrame:
-    namespace = _app_namespace(lake)
-    app_tables.append_override(star.manager_overrides(lake.silver["sales_reps"]), namespace)
-    return review.override_summary(lake.spark.table(f"{namespace}.manager_overrides"))
+    rows = star.manager_overrides(lake.silver["sales_reps"])
+    return review.override_summary(_appended(lake, "manager_overrides", app_tables.append_override, rows))
 
 
 def _submitted(lake: Lake) -> DataFrame:
-    sheet = forecast.adjustment_sheet(lake.deals)
+    sheet = lake.sheet()
     raised = (F.col("original_forecast") + 1000).alias("adjusted_forecast")
     edits = sheet.filter(F.col("stage") == "Negotiation").select("rep_id", "deal_id", raised)
     return _flat(forecast.feedback_submission(sheet, edits, confidence="High").drop("submitted_at"))
@@ -241,12 +246,21 @@ _QUERIES: dict[str, Callable[[Lake], DataFrame]] = {
     "current_month_kpis": lambda lake: dashboard.current_month_kpis(lake.summary),
     "current_month_kpis_as_of": lambda lake: dashboard.current_month_kpis(lake.summary, AS_OF),
     "monthly_trend": lambda lake: dashboard.monthly_trend(lake.summary),
-    "deals_by_stage": lambda lake: dashboard.pipeline_by_stage(lake.deals),
+    "current_month_kpis_rep": lambda lake: dashboard.current_month_kpis(serving.monthly_summary(lake.summary, rep_id=REP)),
+    "current_month_kpis_region": lambda lake: dashboard.current_month_kpis(
+        serving.monthly_summary(lake.summary, region=REGION)
+    ),
+    "current_month_kpi_labels": lambda lake: dashboard.current_month_kpi_labels(dashboard.current_month_kpis(lake.summary)),
+    "monthly_trend_rep": lambda lake: dashboard.monthly_trend(serving.monthly_summary(lake.summary, rep_id=REP)),
+    "monthly_trend_region": lambda lake: dashboard.monthly_trend(serving.monthly_summary(lake.summary, region=REGION)),
+    "deals_by_stage": lambda lake: dashboard.pipeline_by_stage(lake.open_deals),
+    "deals_by_stage_rep": lambda lake: dashboard.pipeline_by_stage(lake.open_deals.where(serving.build_filter(REP))),
+    "deals_by_stage_region": lambda lake: dashboard.pipeline_by_stage(serving.active_deals(lake.deals, region=REGION)),
     "revenue_by_category": lambda lake: dashboard.revenue_by_category(lake.categories),
     "category_share": lambda lake: _rounded(dashboard.category_share(lake.categories), "share", digits=9),
     # forecast and review
-    "adjustment_sheet": lambda lake: forecast.adjustment_sheet(lake.deals),
-    "adjustment_sheet_rep": lambda lake: forecast.adjustment_sheet(lake.deals, REP),
+    "adjustment_sheet": lambda lake: lake.sheet(),
+    "adjustment_sheet_rep": lambda lake: lake.sheet(REP),
     "feedback_submission": _submitted,
     "explode_adjustments": lambda lake: forecast.explode_adjustments(lake.feedback),
     "net_adjustment_total": lambda lake: forecast.net_adjustment_total(lake.feedback),
@@ -256,6 +270,12 @@ _QUERIES: dict[str, Callable[[Lake], DataFrame]] = {
         forecast.rep_adjusted_forecast(lake.summary, lake.feedback, override_pct=5, latest_only=True),
         "rep_adjusted_forecast",
     ),
+    # one rep's months with that rep's feedback; a region's months with everybody's
+    "rep_adjusted_forecast_rep": lambda lake: _rounded(lake.forecast_of(rep_id=REP), "rep_adjusted_forecast"),
+    "rep_adjusted_forecast_region": lambda lake: _rounded(lake.forecast_of(region=REGION), "rep_adjusted_forecast"),
+    "forecast_totals_region": lambda lake: _rounded(
+        forecast.forecast_totals(lake.forecast_of(region=REGION)), "rep_adjusted_forecast", "delta"
+    ),
     "forecast_totals": lambda lake: _rounded(forecast.forecast_totals(lake.forecast), "rep_adjusted_forecast", "delta"),
     "forecast_total_labels": lambda lake: forecast.forecast_total_labels(forecast.forecast_totals(lake.forecast)),
     "forecast_display_table": lambda lake: forecast.forecast_display_table(lake.forecast),
@@ -264,10 +284,14 @@ _QUERIES: dict[str, Callable[[Lake], DataFrame]] = {
     # reports
     "report_monthly": lambda lake: reports.report(lake.gold, reports.MONTHLY),
     "report_deals": lambda lake: reports.report(lake.gold, reports.DEALS, region=REGION),
-    "report_invoices": lambda lake: reports.report(lake.gold, reports.INVOICES, rep_id=REP),
+    "report_invoices": lambda lake: reports.report(lake.gold, reports.INVOICES),
+    "report_invoices_rep": lambda lake: reports.report(lake.gold, reports.INVOICES, rep_id=REP),
+    "report_invoices_rows": lambda lake: reports.report(
+        lake.gold, reports.INVOICES, rep_id=REP, rows=serving.DRILL_DOWN_ROWS
+    ),
     "report_forecast": lambda lake: reports.report(lake.gold, reports.FORECAST, region=REGION),
     "report_monthly_span": lambda lake: reports.report(lake.gold, reports.MONTHLY, start=SPAN[0], end=SPAN[1]),
-    "report_row_count": lambda lake: reports.report_row_count(reports.report(lake.gold, reports.DEALS)),
+    "report_row_count": lambda lake: reports.report_row_count(lake.open_deals),  # lookups add no rows
     # raw profile
     "profile_counts": lambda lake: profile.profile_counts(lake.raw),
     "profile_values": lambda lake: profile.profile_values(lake.raw),

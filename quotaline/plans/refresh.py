@@ -1,22 +1,32 @@
 """The whole refresh: landing folders to bronze, silver, gold and the serving copy.
 
-Each layer is written before the next reads it, so no layer is computed twice and a lost executor costs at most the
-stage it was in. From a shell: ``python -m quotaline.plans.refresh LANDING OUT [SERVING]``.
+Every layer only takes in what is new. Bronze grows by batches of files; silver by the same batches; gold recomputes
+the months that new rows belong to, or everything when reps or customers changed. What is written becomes visible by
+publishing a version: readers see the former tables until all new ones are complete, and a failed run leaves them as
+they were. From a shell: ``python -m quotaline.plans.refresh LANDING OUT [SERVING]``.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Mapping
+import uuid
+from collections.abc import Callable, Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
+from datetime import date
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quotaline.functions.typed import month_of
 from quotaline.operators import gold, silver
-from quotaline.session import configure
-from quotaline.sinks.clustered import write_clustered
+from quotaline.session import configure, sized_for
+from quotaline.sinks import folders
+from quotaline.sinks.clustered import ranged, write_clustered
 from quotaline.sinks.snapshot import read_gold, snapshot_sync
-from quotaline.sources.schemas import ENTITIES, GOLD_LAYOUT
-from quotaline.streaming.bronze import read_bronze, start_ingest
+from quotaline.sources.schemas import ENTITIES, GOLD_KEY, GOLD_LAYOUT
+from quotaline.streaming.bronze import BATCH, BATCH_BYTES, batches, read_bronze, start_ingest
 
 
 SILVER = {
@@ -37,24 +47,123 @@ GOLD: dict[str, Callable[[Mapping[str, DataFrame]], DataFrame]] = {
     "gold_category_summary": lambda s: gold.gold_category_summary(s["invoices"]),
 }
 
+# The day that puts a fact into a month, and the facts that a gold table's months depend on.
+DAY = {"invoices": "invoice_date", "orders": "order_date", "deals": "expected_close_date"}
+FACTS = {
+    "gold_rep_monthly_summary": ("invoices", "orders", "deals"),
+    "gold_active_deals": ("deals",),
+    "gold_invoice_details": ("invoices",),
+    "gold_category_summary": ("invoices",),
+}
+_PART = "month_part"
+NO_MONTH = "none"
+
+
+def _together(work: Callable, items: Iterable) -> list:
+    """Run independent writes side by side; the cluster's scheduler shares the executors."""
+    with ThreadPoolExecutor(len(SILVER)) as pool:
+        return list(pool.map(work, items))
+
 
 def refresh_silver(bronze: Mapping[str, DataFrame], out: str, strict: bool = True, dedupe: bool = False) -> None:
-    """Recompute and replace the silver tables. ``dedupe`` keeps the newest row of each key (off by default)."""
-    for name, clean in SILVER.items():
-        rows = clean(bronze[name], strict)
+    """Recompute and replace whole silver tables. ``dedupe`` keeps the newest row of each key (off by default)."""
+
+    def replace(name: str) -> None:
+        rows = SILVER[name](bronze[name], strict)
         if dedupe:
             rows = silver.newest_by_key(rows, ENTITIES[name].key)
         write_clustered(rows, f"{out}/silver_{name}", ENTITIES[name].silver_layout)
 
+    _together(replace, SILVER)
+
+
+def update_silver(spark: SparkSession, out: str, strict: bool = True) -> None:
+    """Clean the bronze batches that silver does not hold yet, each into a folder of its own.
+
+    Cleaning is row by row, so the rows keep bronze's layout and are not shuffled. The batches become visible
+    together when the write commits.
+    """
+
+    def update(name: str) -> None:
+        source, target = f"{out}/bronze_{name}", f"{out}/silver_{name}"
+        new = sorted(set(batches(spark, source)) - set(batches(spark, target)))
+        if new:
+            writer = SILVER[name](read_bronze(spark, name, source, only=new), strict).write
+            writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BATCH).parquet(target)
+
+    _together(update, SILVER)
+
 
 def read_silver(spark: SparkSession, out: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{out}/silver_{name}") for name in ENTITIES}
+    """The silver tables; without rows where nothing was ingested. Batch numbers are carried where there are any."""
+    empty = {n: SILVER[n](read_bronze(spark, n, f"{out}/bronze_{n}").limit(0)) for n in ENTITIES}
+    return {n: spark.read.parquet(f"{out}/silver_{n}") if folders.names(spark, f"{out}/silver_{n}") else empty[n] for n in ENTITIES}
+
+
+def _in_months(day: str, months: list[date | None]) -> Column:
+    """Whether a day lies in one of the months, as ranges that reach the files."""
+    tests = [F.col(day).isNull() if m is None else F.col(day).between(F.lit(m), F.last_day(F.lit(m))) for m in months]
+    return reduce(or_, tests)
+
+
+def _write_months(rows: DataFrame, table: str, path: str) -> None:
+    """Write a gold table's rows with a folder per month, in the table's layout."""
+    month = F.coalesce(F.date_format(GOLD_LAYOUT[table][0], "yyyy-MM"), F.lit(NO_MONTH))
+    ranged(rows, GOLD_LAYOUT[table], GOLD_KEY[table]).withColumn(_PART, month).write.partitionBy(_PART).parquet(path)
+
+
+def _publish(spark: SparkSession, out: str, build: Mapping[str, DataFrame], seen: dict, kept: Mapping[str, dict]) -> None:
+    """Write gold rows to a new version and publish it with the ``kept`` months of the version before."""
+    version = f"version-{uuid.uuid4().hex}"
+    _together(lambda table: _write_months(build[table], table, f"{out}/{version}/{table}"), build)
+    tables = {table: dict(kept.get(table, {})) for table in GOLD}
+    for table, rows in build.items():
+        parts = [n for n in folders.names(spark, f"{out}/{version}/{table}") if "=" in n]
+        tables[table] |= {n.split("=")[1]: f"{version}/{table}/{n}" for n in parts}
+        if not tables[table]:  # a table without rows still has columns
+            rows.limit(0).write.mode("overwrite").parquet(f"{out}/{version}/{table}/{NO_MONTH}")
+            tables[table] = {NO_MONTH: f"{version}/{table}/{NO_MONTH}"}
+    folders.publish(spark, out, {"tables": tables, "silver": seen})
+    folders.sweep(spark, out)
 
 
 def refresh_gold(cleaned: Mapping[str, DataFrame], out: str) -> None:
-    """Recompute and replace the gold tables."""
-    for name, build in GOLD.items():
-        write_clustered(build(cleaned), f"{out}/{name}", GOLD_LAYOUT[name])
+    """Recompute and publish all gold tables."""
+    spark = cleaned["invoices"].sparkSession
+    _publish(spark, out, {table: build(cleaned) for table, build in GOLD.items()}, {}, {})
+
+
+def update_gold(spark: SparkSession, out: str, dedupe: bool = False) -> list[date | None] | None:
+    """Publish gold with the silver batches it has not seen; returns the months recomputed, or None for all.
+
+    New facts touch the months of their days only. New reps or customers can appear in any row, as can rows that
+    ``dedupe`` drops, so those recompute everything.
+    """
+    cleaned, state = read_silver(spark, out), folders.published(spark, out)
+    now = {name: batches(spark, f"{out}/silver_{name}") for name in ENTITIES}
+    before = (state or {}).get("silver", {})
+    new = {name: sorted(set(now[name]) - set(before.get(name, []))) for name in ENTITIES}
+    if dedupe:
+        cleaned = {n: silver.newest_by_key(rows.drop(BATCH), ENTITIES[n].key) for n, rows in cleaned.items()}
+    if not before or dedupe or new["sales_reps"] or new["customers"]:
+        _publish(spark, out, {table: build(cleaned) for table, build in GOLD.items()}, now if not dedupe else {}, {})
+        return None
+    touched = {
+        fact: [r[0] for r in cleaned[fact].where(F.col(BATCH).isin(new[fact])).select(month_of(day)).distinct().collect()]  # one row a month
+        for fact, day in DAY.items()
+        if new[fact]
+    }
+    build, kept, months = {}, {}, set()
+    for table, facts in FACTS.items():
+        kept[table] = state["tables"][table]
+        here = list({m for fact in facts for m in touched.get(fact, [])})
+        if here:
+            months |= set(here)
+            part = {n: rows.where(_in_months(DAY[n], here)) if n in facts else rows for n, rows in cleaned.items()}
+            build[table] = GOLD[table](part)
+    if build or now != before:
+        _publish(spark, out, build, now, kept)
+    return sorted(months, key=lambda m: m or date.min)
 
 
 def refresh(
@@ -64,25 +173,28 @@ def refresh(
     serving: str | None = None,
     strict: bool = True,
     dedupe: bool = False,
-    max_bytes_per_trigger: int | None = None,
+    max_bytes_per_trigger: int = BATCH_BYTES,
 ) -> dict[str, DataFrame]:
-    """Ingest what is new under ``landing``, rebuild silver and gold under ``out``, and copy gold to ``serving``.
+    """Take in what is new under ``landing``, bring silver and gold under ``out`` up to date, copy gold to ``serving``.
 
-    Returns the gold tables as written.
+    If one entity's ingest fails, the others are stopped; what they had committed stays and is not read again.
+    Returns the gold tables as published.
     """
-    running = [
-        start_ingest(
-            spark, name, f"{landing}/{name}", f"{out}/bronze_{name}", f"{out}/checkpoints/{name}", max_bytes_per_trigger
-        )
-        for name in ENTITIES
-    ]
-    for query in running:
-        query.awaitTermination()
-    refresh_silver({name: read_bronze(spark, name, f"{out}/bronze_{name}") for name in ENTITIES}, out, strict, dedupe)
-    refresh_gold(read_silver(spark, out), out)
-    tables = read_gold(spark, out)
-    if serving:
-        snapshot_sync(tables, serving)
+    running = []
+    try:
+        for n in ENTITIES:
+            running.append(start_ingest(spark, n, f"{landing}/{n}", f"{out}/bronze_{n}", f"{out}/checkpoints/{n}", max_bytes_per_trigger))
+        for query in running:
+            query.awaitTermination()
+    finally:
+        for query in running:
+            query.stop()
+    update_silver(spark, out, strict)
+    with sized_for(spark, sum(folders.size(spark, f"{out}/silver_{n}") for n in ENTITIES)):
+        update_gold(spark, out, dedupe)
+        tables = read_gold(spark, out)
+        if serving:
+            snapshot_sync(tables, serving)
     return tables
 
 

@@ -34,15 +34,20 @@ def report(
     region: str | None = None,
     start: date | None = None,
     end: date | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
-    """The rows of a report. ``start`` and ``end`` restrict it by day; by default all days are reported."""
+    """The rows of a report, all of them unless ``rows`` limits it. ``start`` and ``end`` restrict it by day; by
+    default all days are reported."""
     read, table, day = _REPORTS[report_type]
-    rows = gold[table]
+    source = gold[table]
     if start is not None:
-        rows = rows.filter(F.col(day) >= F.lit(start))
+        source = source.filter(F.col(day) >= F.lit(start))
     if end is not None:
-        rows = rows.filter(F.col(day) <= F.lit(end))
-    return read(rows, rep_id, region)
+        source = source.filter(F.col(day) <= F.lit(end))
+    if report_type == INVOICES:
+        return read(source, rep_id, region, rows)
+    found = read(source, rep_id, region)
+    return found if rows is None else found.limit(rows)
 
 
 def report_row_count(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -15,9 +18,38 @@ SETTINGS = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
 }
 
+INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+#: Bytes of input for each partition that a shuffle starts with, and their largest number.
+PARTITION_BYTES = 256 << 20
+MOST = 50_000
+
 
 def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     """Add the settings to a session builder."""
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     return builder
+
+
+def initial_partitions(input_bytes: int, at_least: int = 200) -> int:
+    """How many partitions a shuffle of so many bytes should start with.
+
+    Adaptive execution merges partitions that turn out small but never splits even ones, so the number has to come
+    from the input: 100 TB start with ``MOST`` partitions of 2 GB rather than with 200 of 500 GB.
+    """
+    return max(at_least, min(MOST, -(-input_bytes // PARTITION_BYTES)))
+
+
+@contextmanager
+def sized_for(spark: SparkSession, input_bytes: int) -> Iterator[int]:
+    """Start shuffles with as many partitions as the input asks for, and at least the session's own number."""
+    before = spark.conf.get(INITIAL, None)
+    wanted = initial_partitions(input_bytes, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spark.conf.set(INITIAL, str(wanted))
+    try:
+        yield wanted
+    finally:
+        if before is None:
+            spark.conf.unset(INITIAL)
+        else:
+            spark.conf.set(INITIAL, before)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quotaline.sinks import folders
 from quotaline.sources import schemas as S
 
 TABLES = {"sales_feedback": S.SALES_FEEDBACK, "manager_overrides": S.MANAGER_OVERRIDES}
@@ -17,11 +20,32 @@ def ensure_namespace(spark: SparkSession, namespace: str, root: str | None = Non
     spark.sql(f"CREATE SCHEMA IF NOT EXISTS {namespace}{location}")
 
 
-def ensure_app_tables(spark: SparkSession, namespace: str) -> None:
-    """Create the two application tables if they are missing."""
+def ensure_app_tables(spark: SparkSession, namespace: str, root: str | None = None) -> None:
+    """Create the two application tables if they are missing. Below ``root``, dropping them keeps their files."""
     for name, schema in TABLES.items():
         columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {namespace}.{name} ({columns}) USING parquet")
+        location = f" LOCATION '{root}/{name}'" if root else ""
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {namespace}.{name} ({columns}) USING parquet{location}")
+
+
+def _location(spark: SparkSession, table: str) -> str:
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Location'").collect()
+    return rows[0]["data_type"].rstrip("/")
+
+
+def _add_files(rows: DataFrame, table: str, location: str) -> None:
+    """Write rows beside the table and move the complete files in, under names no other writer uses.
+
+    Any number of writers can append at once: they share no folder but the table's, and only rename into that.
+    """
+    spark, mark = rows.sparkSession, uuid.uuid4().hex
+    staged = f"{location}/_new-{mark}"
+    rows.write.parquet(staged)
+    folders.ensure(spark, location)
+    for name in folders.names(spark, staged):
+        folders.move(spark, f"{staged}/{name}", f"{location}/{mark}-{name}")
+    folders.remove(spark, staged)
+    spark.catalog.refreshTable(table)
 
 
 def _append(rows: DataFrame, table: str, schema: T.StructType, stamp: str) -> None:
@@ -30,13 +54,36 @@ def _append(rows: DataFrame, table: str, schema: T.StructType, stamp: str) -> No
     given["id"] = F.expr("uuid()")
     given[stamp] = F.coalesce(given[stamp].cast("timestamp"), F.current_timestamp())
     ordered = [given[f.name].cast(f.dataType).alias(f.name) for f in schema.fields]
-    rows.select(*ordered).write.mode("append").insertInto(table)
+    _add_files(rows.select(*ordered), table, _location(rows.sparkSession, table))
+
+
+def decoded(adjustments: Column) -> Column:
+    """Adjustments from JSON text. Text that is malformed, or holds an amount that is no number, is an error."""
+    return F.from_json(adjustments, S.ADJUSTMENTS, {"mode": "FAILFAST"})
+
+
+def valid(adjustments: Column) -> Column:
+    """The adjustments, or an error: every one needs a deal, both amounts and an adjusted amount not below zero, and
+    a submission adjusts a deal once."""
+
+    def lacks(a: Column) -> Column:
+        return a["deal_id"].isNull() | a["original_forecast"].isNull() | a["adjusted_forecast"].isNull()
+
+    deals = F.transform(adjustments, lambda a: a["deal_id"])
+    return (
+        F.when(F.exists(adjustments, lacks), F.raise_error("an adjustment lacks its deal or an amount"))
+        .when(F.exists(adjustments, lambda a: a["adjusted_forecast"] < 0), F.raise_error("an adjusted forecast is below zero"))
+        .when(F.size(F.array_distinct(deals)) < F.size(deals), F.raise_error("a deal is adjusted twice in a submission"))
+        .otherwise(adjustments)
+    )
 
 
 def append_feedback(rows: DataFrame, namespace: str) -> None:
-    """Append submissions; adjustments may come as an array or as JSON text."""
-    if "adjustments" in rows.columns and isinstance(rows.schema["adjustments"].dataType, T.StringType):
-        rows = rows.withColumn("adjustments", F.from_json("adjustments", S.ADJUSTMENTS))
+    """Append submissions; adjustments may come as an array or as JSON text. Invalid ones fail the whole append."""
+    if "adjustments" in rows.columns:
+        if isinstance(rows.schema["adjustments"].dataType, T.StringType):
+            rows = rows.withColumn("adjustments", decoded(F.col("adjustments")))
+        rows = rows.withColumn("adjustments", valid(F.col("adjustments")))
     _append(rows, f"{namespace}.sales_feedback", S.SALES_FEEDBACK, "submitted_at")
 
 
@@ -45,6 +92,24 @@ def append_override(rows: DataFrame, namespace: str) -> None:
     _append(rows, f"{namespace}.manager_overrides", S.MANAGER_OVERRIDES, "approved_at")
 
 
+def compact(spark: SparkSession, namespace: str, name: str) -> int:
+    """Put a table's present files together into few; returns how many went. Appends may go on meanwhile.
+
+    Run by one job at a time. A reader that lists the folder between the two moves sees rows twice, told by their id.
+    """
+    table = f"{namespace}.{name}"
+    location = _location(spark, table)
+    present = folders.names(spark, location)
+    if len(present) < 2:
+        return 0
+    rows = spark.read.schema(TABLES[name]).parquet(*[f"{location}/{n}" for n in present])
+    _add_files(rows.repartition(max(1, folders.size(spark, location) >> 28)), table, location)
+    for n in present:
+        folders.remove(spark, f"{location}/{n}")
+    spark.catalog.refreshTable(table)
+    return len(present)
+
+
 def adjustments_as_json(feedback: DataFrame) -> DataFrame:
     """Submissions with the adjustments as JSON text, for stores without arrays."""
     return feedback.withColumn("adjustments", F.to_json("adjustments"))

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
+from quotaline.sinks import folders
+
 
 def clustered(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Bring rows with equal leading keys together, sorted by all keys.
@@ -17,6 +19,21 @@ def clustered(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.hint("rebalance", keys[0]).sortWithinPartitions(*keys)
 
 
-def write_clustered(df: DataFrame, path: str, keys: Sequence[str]) -> None:
-    """Replace a parquet table, laid out by ``keys``."""
-    clustered(df, keys).write.mode("overwrite").parquet(path)
+def ranged(df: DataFrame, keys: Sequence[str], row_key: str) -> DataFrame:
+    """Order rows by ``keys`` across files, so that a filter on a prefix of the keys skips files.
+
+    The row's own key ends the order: a hot combination of keys spans as many files as it needs.
+    """
+    order = [*keys, *([row_key] if row_key not in keys else [])]
+    return df.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def write_clustered(df: DataFrame, path: str, keys: Sequence[str], row_key: str | None = None) -> None:
+    """Replace a parquet table, laid out by ``keys`` (with ``row_key``: in their order across files).
+
+    The new table is written beside the old one and takes its place when it is complete.
+    """
+    staged = folders.beside(path)
+    rows = clustered(df, keys) if row_key is None else ranged(df, keys, row_key)
+    rows.write.parquet(staged)
+    folders.swap_in(df.sparkSession, staged, path)

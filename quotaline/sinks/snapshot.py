@@ -1,26 +1,37 @@
-"""Full copies of the gold tables for serving."""
+"""Full copies of the gold tables for serving, and reading published tables."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quotaline.sources.schemas import GOLD_LAYOUT
+from quotaline.sinks import folders
+from quotaline.sinks.clustered import ranged
+from quotaline.sources.schemas import GOLD_KEY, GOLD_LAYOUT, SERVING_LAYOUT
 
 
 def snapshot_sync(gold: Mapping[str, DataFrame], serving: str) -> dict[str, str]:
-    """Replace the serving copy of each gold table with its present rows; returns the copies' paths."""
-    copies = {name: f"{serving}/{name}" for name in GOLD_LAYOUT}
-    for name, path in copies.items():
-        gold[name].write.mode("overwrite").parquet(path)
-    return copies
+    """Publish a new copy of all gold tables at once; returns the copies' paths.
+
+    The copies go to a folder of their own. Readers see the former copies until the last table is written, and all
+    four new ones from then on; a failed run changes nothing for them. Rows are ordered by region and rep, the
+    filters of the reads.
+    """
+    spark = next(iter(gold.values())).sparkSession
+    version = f"version-{uuid.uuid4().hex}"
+    for name in GOLD_LAYOUT:
+        ranged(gold[name], SERVING_LAYOUT[name], GOLD_KEY[name]).write.parquet(f"{serving}/{version}/{name}")
+    folders.publish(spark, serving, {"tables": {name: {"all": f"{version}/{name}"} for name in GOLD_LAYOUT}})
+    folders.sweep(spark, serving)
+    return {name: f"{serving}/{version}/{name}" for name in GOLD_LAYOUT}
 
 
-def jdbc_options(url: str, table: str, connections: int = 16, batch_rows: int = 10_000, **properties: str) -> dict[str, str]:
+def jdbc_options(url: str, table: str, connections: int, batch_rows: int = 10_000, **properties: str) -> dict[str, str]:
     """Options of a replacing JDBC write that keeps the table's definition.
 
-    ``connections`` caps how many tasks write at once, whatever the number of partitions.
+    ``connections`` is how many tasks write at once: what the database takes, whatever the number of partitions.
     """
     return {
         "url": url,
@@ -32,13 +43,16 @@ def jdbc_options(url: str, table: str, connections: int = 16, batch_rows: int =
     }
 
 
-def snapshot_sync_jdbc(gold: Mapping[str, DataFrame], url: str, schema: str, **properties: str) -> None:
+def snapshot_sync_jdbc(gold: Mapping[str, DataFrame], url: str, schema: str, connections: int, **properties: str) -> None:
     """The same copies into a database."""
     for name in GOLD_LAYOUT:
-        options = jdbc_options(url, f"{schema}.{name}", **properties)
+        options = jdbc_options(url, f"{schema}.{name}", connections, **properties)
         gold[name].write.format("jdbc").mode("overwrite").options(**options).save()
 
 
 def read_gold(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The gold tables (or their serving copies) under a folder."""
-    return {name: spark.read.parquet(f"{root}/{name}") for name in GOLD_LAYOUT}
+    """The gold tables (or their serving copies) that were last published under a folder."""
+    state = folders.published(spark, root)
+    if state is None:
+        raise FileNotFoundError(f"nothing was published in {root}")
+    return {name: spark.read.parquet(*[f"{root}/{f}" for f in sorted(state["tables"][name].values())]) for name in GOLD_LAYOUT}

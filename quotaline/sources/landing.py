@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame
 from quotaline.sources.schemas import ENTITIES
 
 
+def _declared_first(name: str, rows: DataFrame) -> DataFrame:
+    """The entity's columns in order, then whatever else the rows bring."""
+    declared = ENTITIES[name].schema.names
+    return rows.select(*declared, *[c for c in rows.columns if c not in declared])
+
+
 def land_parquet(raw: Mapping[str, DataFrame], landing: str) -> dict[str, str]:
     """Write raw entities to their landing folders, replacing what is there; returns the folders.
 
@@ -17,10 +23,10 @@ def land_parquet(raw: Mapping[str, DataFrame], landing: str) -> dict[str, str]:
     """
     folders = {name: f"{landing}/{name}" for name in raw}
     for name, df in raw.items():
-        df.select(*ENTITIES[name].schema.names).write.mode("overwrite").parquet(folders[name])
+        _declared_first(name, df).write.mode("overwrite").parquet(folders[name])
     return folders
 
 
 def add_files(name: str, rows: DataFrame, landing: str) -> None:
     """Add rows to a landing folder as new files."""
-    rows.select(*ENTITIES[name].schema.names).write.mode("append").parquet(f"{landing}/{name}")
+    _declared_first(name, rows).write.mode("append").parquet(f"{landing}/{name}")

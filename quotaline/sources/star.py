@@ -11,6 +11,14 @@ from pyspark.sql import functions as F
 from quotaline.sources import schemas as S
 
 
+# Values that only these fixtures use; no operator matches them.
+CATEGORIES = tuple(f"Line {letter}" for letter in "ABCDEFGH")
+ROLES = ("Field", "Key Account", "Principal")
+TIERS = ("Large", "Middle", "Small")
+DEAL_TYPES = ("First", "Upgrade", "Repeat")
+TERMS = ("14 days", "28 days", "56 days")
+
+
 class StarTables(dict):
     """The tables of a folder by name, each opened when it is first asked for."""
 
@@ -38,7 +46,7 @@ def _customer(number: Column) -> Column:
 
 
 def _category(number: Column, first: int) -> Column:
-    names = F.array(*[F.lit(c) for c in S.PRODUCT_CATEGORIES[:first]])
+    names = F.array(*[F.lit(c) for c in CATEGORIES[:first]])
     return F.element_at(names, (number % first + 1).cast("int"))
 
 
@@ -88,9 +96,7 @@ def raw_sales_reps(tables: StarTables) -> DataFrame:
         F.when(key % 50 != 49, F.col("s_name")).alias("rep_name"),
         F.concat(F.lower("s_name"), F.lit("@example.com")).alias("email"),
         F.col("r_name").alias("region"),
-        _ladder(
-            key % 20, {10: "Account Executive", 17: "Senior Account Executive"}, "Strategic Account Manager"
-        ).alias("role"),
+        _ladder(key % 20, {10: ROLES[0], 17: ROLES[1]}, ROLES[2]).alias("role"),
         F.concat(F.lit("Manager "), F.col("r_name")).alias("manager_name"),
         _text(_day_after(F.lit("2015-01-01").cast("date"), key * 7 % 2000)).alias("hire_date"),
         (500000 + F.col("s_acctbal") * 100).alias("annual_quota"),
@@ -108,7 +114,7 @@ def raw_customers(tables: StarTables) -> DataFrame:
         _customer(key + 1).alias("customer_id"),
         F.when(key % 100 != 99, F.col("c_name")).alias("customer_name"),
         F.col("c_mktsegment").alias("vertical"),
-        _ladder(key % 20, {3: "Enterprise", 10: "Mid-Market"}, "SMB").alias("tier"),
+        _ladder(key % 20, {3: TIERS[0], 10: TIERS[1]}, TIERS[2]).alias("tier"),
         F.col("r_name").alias("region"),
         _rep(key % _rep_count(tables) + 1).alias("assigned_rep_id"),
         _text(_day_after(F.lit("2018-01-01").cast("date"), key % 1500)).alias("created_date"),
@@ -145,11 +151,11 @@ def raw_invoices(tables: StarTables) -> DataFrame:
             },
             F.lit(0.0),
         ).alias("revenue_recognized_pct"),
-        F.when(F.col("l_suppkey") == 0, "Managed Services")
+        F.when(F.col("l_suppkey") == 0, CATEGORIES[7])
         .otherwise(_category(F.col("l_partkey"), 7))
         .alias("product_category"),
         F.concat(F.lit("PO-"), _text(100000 + F.col("l_orderkey") % 900000)).alias("po_number"),
-        _ladder(F.col("l_linenumber") % 10, {4: "Net 30", 7: "Net 45"}, "Net 60").alias("payment_terms"),
+        _ladder(F.col("l_linenumber") % 10, {4: TERMS[0], 7: TERMS[1]}, TERMS[2]).alias("payment_terms"),
     )
 
 
@@ -181,9 +187,7 @@ def raw_deals(tables: StarTables) -> DataFrame:
     # Multiplied as decimals: rounding a binary product to cents is not reproducible between engines.
     forecast = (amount.cast(S.MONEY) * probability.cast(S.RATIO)).cast(S.MONEY)
     return (
-        tables["orders"]
-        .filter(key % 3 == 0)
-        .select(
+        tables["orders"].select(
             _code("OPP", key + 1, 9).alias("deal_id"),
             _customer(F.col("o_custkey") + 1).alias("customer_id"),
             _rep((F.col("o_custkey") + 3) % _rep_count(tables) + 1).alias("rep_id"),
@@ -195,7 +199,7 @@ def raw_deals(tables: StarTables) -> DataFrame:
             _category(key, 8).alias("product_category"),
             _text(day).alias("created_date"),
             _text(_day_after(day, 14 + key * 7 % 90)).alias("expected_close_date"),
-            F.when(key % 9 == 0, "New Business").when(key % 9 == 3, "Expansion").otherwise("Renewal").alias("deal_type"),
+            F.when(key % 9 == 0, DEAL_TYPES[0]).when(key % 9 == 3, DEAL_TYPES[1]).otherwise(DEAL_TYPES[2]).alias("deal_type"),
             F.when(key % 2 == 0, "Schedule demo").otherwise("Send proposal").alias("next_step"),
         )
     )
@@ -210,19 +214,19 @@ RAW = {
 }
 
 
-def sales_feedback(active_deals: DataFrame, sheet_size: int = 15) -> DataFrame:
-    """One submission per rep over its adjustment sheet (the first deals by close date).
+def sales_feedback(open_deals: DataFrame, reps: DataFrame, sheet_size: int = 15) -> DataFrame:
+    """One submission per rep over its adjustment sheet (the first ``sheet_size`` deals by close date, as in the form).
 
-    The row-number filter is pruned on the map side, so a rep with very many deals ships ``sheet_size`` of them per
-    task, and the array is bounded by ``sheet_size``.
+    The rep's name is looked up once per submission. The row-number filter is pruned on the map side, so a rep with
+    very many deals ships ``sheet_size`` of them per task, and the array is bounded by ``sheet_size``.
     """
     by_close = Window.partitionBy("rep_id").orderBy(F.asc_nulls_last("expected_close_date"), "deal_id")
     factor = (
         F.when(F.col("line") % 3 == 0, F.lit("0.90")).when(F.col("line") % 3 == 1, F.lit("1.10")).otherwise(F.lit("1.00"))
     )
     lines = (
-        active_deals.filter(F.col("rep_id").isNotNull())
-        .select("rep_id", "rep_name", "deal_id", "expected_close_date", "forecasted_amount")
+        open_deals.filter(F.col("rep_id").isNotNull())
+        .select("rep_id", "deal_id", "expected_close_date", "forecasted_amount")
         .withColumn("line", F.row_number().over(by_close))
         .filter(F.col("line") <= sheet_size)
         .withColumn("adjusted", (F.col("forecasted_amount") * factor.cast(S.RATIO)).cast(S.MONEY))
@@ -234,9 +238,8 @@ def sales_feedback(active_deals: DataFrame, sheet_size: int = 15) -> DataFrame:
         F.col("forecasted_amount").alias("original_forecast"),
         F.col("adjusted").alias("adjusted_forecast"),
     )
-    grouped = lines.groupBy("rep_id").agg(
-        F.max("rep_name").alias("rep_name"), F.array_sort(F.collect_list(entry)).alias("entries")
-    )
+    grouped = lines.groupBy("rep_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    grouped = grouped.join(reps.select("rep_id", "rep_name"), "rep_id", "left")
     return grouped.select(
         "rep_id",
         "rep_name",

@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from quotaline.sinks import folders
 from quotaline.sinks.clustered import clustered
 from quotaline.sources.schemas import ENTITIES
 
 INGESTED_AT, SOURCE_FILE = "_ingested_at", "_source_file"
 BATCH = "ingest_batch"
+#: A backlog is read in batches of so many bytes unless the caller says otherwise.
+BATCH_BYTES = 256 << 30
+#: Files count however old they are: the source's own limit, a week, would skip late ones without a word.
+ANY_AGE = "36500d"
 
 
 def with_audit_columns(files: DataFrame) -> DataFrame:
@@ -21,13 +26,36 @@ def with_audit_columns(files: DataFrame) -> DataFrame:
     )
 
 
+def landed_schema(spark: SparkSession, entity: str, folder: str) -> T.StructType:
+    """The entity's declared columns, and after them those that files in the folder have besides.
+
+    Reads the files' footers. A column that two files hold in types that do not merge is an error.
+    """
+    declared = ENTITIES[entity].schema
+    if not folders.names(spark, folder):
+        return declared
+    known = {n.lower() for n in declared.names}
+    landed = spark.read.option("mergeSchema", "true").parquet(folder).schema
+    return T.StructType([*declared.fields, *[f for f in landed.fields if f.name.lower() not in known]])
+
+
 def read_landing_stream(
-    spark: SparkSession, entity: str, folder: str, max_bytes_per_trigger: int | None = None
+    spark: SparkSession,
+    entity: str,
+    folder: str,
+    max_bytes_per_trigger: int = BATCH_BYTES,
+    archive: str | None = None,
 ) -> DataFrame:
-    """The landing folder as a stream of its parquet files."""
-    reader = spark.readStream.schema(ENTITIES[entity].schema)
-    if max_bytes_per_trigger is not None:
-        reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
+    """The landing folder as a stream of its parquet files, with all their columns.
+
+    The stream remembers the path of every file it has read. ``archive`` moves files there once they are in, which
+    keeps listings and footers to what is new.
+    """
+    folders.ensure(spark, folder)
+    reader = spark.readStream.schema(landed_schema(spark, entity, folder)).option("maxFileAge", ANY_AGE)
+    reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
+    if archive is not None:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
     return with_audit_columns(reader.parquet(folder))
 
 
@@ -37,7 +65,8 @@ def start_ingest(
     folder: str,
     bronze: str,
     checkpoint: str,
-    max_bytes_per_trigger: int | None = None,
+    max_bytes_per_trigger: int = BATCH_BYTES,
+    archive: str | None = None,
 ) -> StreamingQuery:
     """Start appending the files not seen before to the bronze table; the query ends when they are all in.
 
@@ -51,7 +80,7 @@ def start_ingest(
     def write_batch(rows: DataFrame, number: int) -> None:
         clustered(rows, layout).write.mode("overwrite").parquet(f"{bronze}/{BATCH}={number}")
 
-    stream = read_landing_stream(spark, entity, folder, max_bytes_per_trigger)
+    stream = read_landing_stream(spark, entity, folder, max_bytes_per_trigger, archive)
     return (
         stream.writeStream.queryName(f"ingest_{entity}")
         .option("checkpointLocation", checkpoint)
@@ -67,18 +96,29 @@ def ingest(
     folder: str,
     bronze: str,
     checkpoint: str,
-    max_bytes_per_trigger: int | None = None,
+    max_bytes_per_trigger: int = BATCH_BYTES,
+    archive: str | None = None,
 ) -> None:
     """Ingest one entity and wait until it is done."""
-    start_ingest(spark, entity, folder, bronze, checkpoint, max_bytes_per_trigger).awaitTermination()
-
-
-def read_bronze(spark: SparkSession, entity: str, bronze: str) -> DataFrame:
-    """The ingested rows with their audit columns."""
-    added = [
-        T.StructField(INGESTED_AT, T.TimestampType()),
-        T.StructField(SOURCE_FILE, T.StringType()),
-        T.StructField(BATCH, T.LongType()),
-    ]
-    schema = T.StructType(ENTITIES[entity].schema.fields + added)
-    return spark.read.schema(schema).parquet(bronze).drop(BATCH)
+    start_ingest(spark, entity, folder, bronze, checkpoint, max_bytes_per_trigger, archive).awaitTermination()
+
+
+def batches(spark: SparkSession, table: str) -> list[int]:
+    """The numbers of the batches that a table holds."""
+    return sorted(int(n.split("=")[1]) for n in folders.names(spark, table) if n.startswith(f"{BATCH}="))
+
+
+def read_bronze(spark: SparkSession, entity: str, bronze: str, only: list[int] | None = None) -> DataFrame:
+    """The ingested rows: declared columns, undeclared ones and the audit columns. No rows if none were ingested.
+
+    ``only`` reads some batches, and adds their numbers as a column.
+    """
+    declared = ENTITIES[entity].schema
+    audit = T.StructType([T.StructField(INGESTED_AT, T.TimestampType()), T.StructField(SOURCE_FILE, T.StringType())])
+    numbers = batches(spark, bronze) if only is None else only
+    if not numbers:
+        return spark.createDataFrame([], T.StructType([*declared.fields, *audit.fields]))
+    reader = spark.read.option("mergeSchema", "true").option("basePath", bronze)
+    rows = reader.parquet(*[f"{bronze}/{BATCH}={n}" for n in numbers])
+    others = [c for c in rows.columns if c not in {*declared.names, *audit.names, BATCH}]
+    return rows.select(*declared.names, *others, *audit.names, *([] if only is None else [BATCH]))

@@ -2,6 +2,8 @@
 
 from datetime import date
 
+import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from quotaline.operators import dashboard, forecast, gold, profile, review, silver
@@ -88,12 +90,42 @@ def test_submission_takes_the_edits_over_the_forecast(frames):
         silver.silver_sales_reps(frames.reps({"rep_id": "R1", "rep_name": "Ann"})),
         silver.silver_customers(frames.customers()),
     )
-    edits = frames.spark.createDataFrame([("R1", "a", 75.5), ("R2", "b", 1.0)], "rep_id string, deal_id string, adjusted_forecast double")
-    (row,) = forecast.feedback_submission(forecast.adjustment_sheet(rows, "R1"), edits, risks="late").collect()
+    sheet = forecast.adjustment_sheet(rows, "R1")
+
+    def submitted(*edits):
+        made = frames.spark.createDataFrame(list(edits), "rep_id string, deal_id string, adjusted_forecast double")
+        return forecast.feedback_submission(sheet, made, risks="late").collect()
+
+    (row,) = submitted(("R1", "a", 75.5))
     assert (row.rep_id, row.rep_name, row.confidence, row.risks) == ("R1", "Ann", "Medium", "late")
     assert [tuple(a) for a in row.adjustments] == [
         ("first", dec("50"), dec("50")), ("a", dec("50"), dec("75.5")), ("b", dec("50"), dec("50")),
     ]
+    wrong = {
+        "not in the sheet": [("R2", "b", 1.0)], "more than one edit": [("R1", "a", 1.0), ("R1", "a", 2.0)],
+        "below zero": [("R1", "a", -1.0)], "no amount": [("R1", "b", None)],
+    }
+    for message, edits in wrong.items():
+        with pytest.raises(PySparkException, match=message):
+            submitted(*edits)
+
+
+def test_submission_keeps_the_order_of_the_sheet(frames):
+    deals = [{"deal_id": "undated", "expected_close_date": None}, {"deal_id": "late", "expected_close_date": "2024-03-01"}, {"deal_id": "early"}]
+    sheet = forecast.adjustment_sheet(
+        gold.open_deals(silver.silver_deals(frames.deals(*deals))), "R1",
+        reps=silver.silver_sales_reps(frames.reps({"rep_id": "R1", "rep_name": "Ann"})),
+    )
+    assert [r.deal_id for r in sheet.orderBy(F.asc_nulls_last("expected_close_date")).collect()] == ["early", "late", "undated"]
+    none = frames.spark.createDataFrame([], "rep_id string, deal_id string, adjusted_forecast double")
+    (row,) = forecast.feedback_submission(sheet, none).collect()
+    assert (row.rep_name, [a.deal_id for a in row.adjustments]) == ("Ann", ["early", "late", "undated"])
+
+
+def test_review_and_total_agree_on_missing_amounts(frames):
+    rows = frames.feedback({"rep_id": "R1", "submitted_at": moment("2024-01-01"), "adjustments": [("D1", 10, None), ("D2", 5, 9)]})
+    assert review.feedback_review(rows).first().net_adjustment == dec("4.00")
+    assert forecast.net_adjustment_total(rows).first().net_adjustment == dec("4.00")
 
 
 def test_every_resubmission_counts_unless_latest_only(frames):

@@ -7,11 +7,13 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from quotaline import session
 from quotaline.operators import gold, silver
 from quotaline.operators.serving import monthly_summary
+from quotaline.plans import catalog
 from quotaline.sinks.clustered import clustered
 from quotaline.sources.schemas import GOLD_LAYOUT
-from tests.conftest import day, dec, executed_plan
+from tests.conftest import SMALL, day, dec, executed_plan
 
 
 def summarize(frames, invoices=(), orders=(), deals=(), reps=()):
@@ -160,6 +162,7 @@ def shuffled(spark):
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16kb",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
         "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1kb",
     }
     for key, value in changed.items():
         spark.conf.set(key, value)
@@ -172,7 +175,7 @@ def test_hot_rep_and_missing_rep_are_split_in_lookups(spark, frames, shuffled):
     n = 30_000
     invoices = spark.range(0, n, 1, 16).select(
         F.concat(F.lit("I"), "id").alias("invoice_id"),
-        F.concat(F.lit("C"), F.col("id") % 500).alias("customer_id"),
+        F.when(F.col("id") % 5 < 2, "C0").otherwise(F.concat(F.lit("C"), F.col("id") % 500)).alias("customer_id"),
         F.when(F.col("id") % 3 == 0, "R0").when(F.col("id") % 3 == 1, F.concat(F.lit("R"), F.col("id") % 97)).alias("rep_id"),
         F.lit("2024-01-01").alias("invoice_date"), F.lit(1.0).alias("invoice_amount"), F.lit("Shipped").alias("status"),
         F.lit(1.0).alias("revenue_recognized_pct"), F.lit("N").alias("product_category"),
@@ -184,8 +187,31 @@ def test_hot_rep_and_missing_rep_are_split_in_lookups(spark, frames, shuffled):
         silver.silver_invoices(invoices), silver.silver_sales_reps(reps), silver.silver_customers(customers)
     )
     plan = executed_plan(details)
-    assert plan.count("SortMergeJoin(skew=true)") >= 1
+    assert plan.count("SortMergeJoin(skew=true)") == 2  # the hot rep and the hot customer
     written = executed_plan(clustered(details, GOLD_LAYOUT["gold_invoice_details"]))
     assert "SortMergeJoin(skew=true)" in written and "REBALANCE" in written
     rows = details.agg(F.count("*").alias("n"), F.countDistinct("invoice_id").alias("ids"), F.count("rep_name").alias("named")).first()
     assert (rows.n, rows.ids, rows.named) == (n, n, 20_000)
+
+
+def test_even_keys_get_enough_partitions(spark, frames, shuffled):
+    n = session.initial_partitions(500 << 40)
+    assert (n, session.initial_partitions(0, 8), session.initial_partitions(100 << 30)) == (session.MOST, 8, 400)
+    rows = spark.range(0, 20_000, 1, 8).select((F.col("id") % 5000).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+
+    def largest() -> int:
+        joined = rows.join(rows.groupBy("k").count(), "k")
+        return max(joined.select("v").rdd.mapPartitions(lambda rows: [sum(len(r[0]) for r in rows)]).collect())
+
+    advisory = 16 << 10
+    assert largest() > 4 * advisory  # even keys in the session's own eight partitions
+    with session.sized_for(spark, 256 * session.PARTITION_BYTES) as wanted:
+        assert wanted == 256 and largest() <= 1.5 * advisory
+    assert spark.conf.get(session.INITIAL, None) is None
+
+
+def test_reads_that_need_no_customer_scan_none(spark):
+    lake = catalog.Lake(spark, SMALL)
+    for name in ("deals_by_stage", "deals_by_stage_rep", "report_row_count", "net_adjustment_total", "adjustment_sheet", "feedback_review", "nonzero_adjustments"):
+        plan = catalog._QUERIES[name](lake)._jdf.queryExecution().optimizedPlan().toString()
+        assert "c_custkey" not in plan, name

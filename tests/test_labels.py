@@ -41,11 +41,11 @@ def test_other_labels(spark):
     row = one.select(
         labels.month_label(moment), labels.day_label(moment), labels.minute_label(moment),
         labels.direction(F.lit(0)), labels.direction(F.lit(-1)), labels.short_name(F.lit("x" * 70)),
-        labels.shown_text(F.lit("")), labels.shown_text(F.lit("a")), labels.confidence_rank(F.lit("Very High")),
-        labels.confidence_rank(F.lit(None).cast("string")), labels.confidence_icon(F.lit(None).cast("string")),
+        labels.shown_text(F.lit("")), labels.shown_text(F.lit("a")),
+        labels.confidence_icon(F.lit(None).cast("string")),
     ).first()
     assert tuple(row) == (
-        "Mar 2024", "2024-03-05", "2024-03-05T09:07", "↑", "↓", "x" * 50, None, "a", 5, 6, "⚪",
+        "Mar 2024", "2024-03-05", "2024-03-05T09:07", "↑", "↓", "x" * 50, None, "a", "⚪",
     )
     signs = one.select(*[labels.signed_percent(F.lit(p)) for p in (5, -30, 0)]).first()
     assert tuple(signs) == ("+5%", "-30%", "+0%")
