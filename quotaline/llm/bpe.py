@@ -23,6 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from quotaline.llm import textbatch as tb
+from quotaline.llm.shared import ship
 
 #: Pre-tokens up to so many bytes are rows of rank arrays.
 WIDE = 64
@@ -208,6 +209,7 @@ def codec(path: str) -> Codec:
 
 def encode(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and ``ids`` (array of int) of every row; ``path`` is the tokenizer file on every machine."""
+    ship(documents.sparkSession)
     kind = documents.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -222,6 +224,7 @@ def encode(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     """``id_col`` and ``text`` of rows with ``ids``; null ids give an empty text."""
+    ship(encoded.sparkSession)
     kind = encoded.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -235,6 +238,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
 
 def round_trip(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode every row: ``n_tokens``, digests of the ids and of the decoded text."""
+    ship(documents.sparkSession)
     kind = documents.schema[id_col].dataType.simpleString()
 
     def run(batches):

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from quotaline.llm import textbatch as tb
 from quotaline.llm.labelled import held_out, sampled
+from quotaline.llm.shared import ship
 
 PARTS, PART = 4, 2
 SAMPLE = 20_000
@@ -190,6 +191,7 @@ def viterbi(scores: np.ndarray, n_words: np.ndarray, penalty: float) -> np.ndarr
 
 def learn(documents: DataFrame, most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """The model of documents with a language that are not held out."""
+    ship(documents.sparkSession)
     d = documents.select(documents[id_col].alias("id"), documents[text_col].alias("text"), documents[lang_col].alias("lang"))
     known = d.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id"), PARTS, PART))
 
@@ -226,6 +228,7 @@ def learn(documents: DataFrame, most: int = SAMPLE, id_col: str = "doc_id", text
 
 def identify(documents: DataFrame, model: Model, with_spans: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``lang_pred``, ``score`` and (``with_spans``) ``spans``: (first word, last word, language) from 0."""
+    ship(documents.sparkSession)
     kind = documents.schema[id_col].dataType.simpleString()
     names = np.array([*model.languages, "und"], object)
     names_, n_langs = ["id", "lang_pred", "score", *["spans"] * with_spans], len(model.languages)
@@ -271,6 +274,7 @@ def identify(documents: DataFrame, model: Model, with_spans: bool = True, id_col
 
 def accepted(documents: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, of which ``least`` of the letters are in one language."""
+    ship(documents.sparkSession)
     place = documents.columns.index(text_col)
 
     def share(held):

@@ -29,6 +29,7 @@ from tokenizers import Tokenizer
 
 from quotaline.llm import textbatch as tb
 from quotaline.llm.bpe import byte_letters
+from quotaline.llm.shared import ship
 
 CAPACITY = 4096
 GROUP_TOKENS = 4 << 20
@@ -128,6 +129,7 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY, linear: float = 1.0, qua
 
 def packed(documents: DataFrame, path: str, end_id: int = 2, capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """A row per piece: ``id_col``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset`` and (``with_ids``) ``ids``."""
+    ship(documents.sparkSession)
     kind = documents.schema[id_col].dataType.simpleString()
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids]
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from quotaline.llm import gam
 from quotaline.llm import textbatch as tb
 from quotaline.llm.labelled import held_out, texts_with
+from quotaline.llm.shared import ship
 
 PARTS, PART = 4, 2
 SAMPLE = 20_000
@@ -109,6 +110,7 @@ def shapes() -> Shapes:
 
 def learn(documents: DataFrame, labels: DataFrame, most: int = SAMPLE, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> gam.Gam:
     """The model of labelled documents that are not held out."""
+    ship(documents.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -127,6 +129,7 @@ def learn(documents: DataFrame, labels: DataFrame, most: int = SAMPLE, label_col
 
 def scored(documents: DataFrame, model: gam.Gam, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and ``score`` (0 to 1) of every row, empty texts too."""
+    ship(documents.sparkSession)
     kind = documents.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -139,6 +142,7 @@ def scored(documents: DataFrame, model: gam.Gam, id_col: str = "doc_id", text_co
 
 def accepted(documents: DataFrame, model: gam.Gam, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose score is at least ``threshold``."""
+    ship(documents.sparkSession)
     place = documents.columns.index(text_col)
 
     def run(batches):

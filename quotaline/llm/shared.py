@@ -1,11 +1,17 @@
-"""The folder that driver and executors share, and frames cut off from their lineage there."""
+"""What driver and executors share: a folder, frames cut off from their lineage there, and this package's code."""
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; a local session without one (as in tests) gets a folder of its own."""
@@ -18,10 +24,32 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
-def cut(frame: DataFrame) -> DataFrame:
-    """The frame's rows, computed now and read from the shared folder afterwards, whichever executors are lost."""
+def tasks(spark: SparkSession) -> int:
+    """Tasks that keep all cores busy with work that is small for its number of rows."""
+    return 2 * spark.sparkContext.defaultParallelism
+
+
+def cut(frame: DataFrame, parts: int | None = None) -> DataFrame:
+    """The frame's rows, computed now and read from the shared folder afterwards, whichever executors are lost.
+
+    ``parts`` writes at most so many files, and later stages read them with as many tasks.
+    """
+    frame = frame if parts is None else frame.coalesce(parts)
     spark = frame.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_folder(spark))
     return frame.checkpoint()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Spark send this package to its Python workers, unless they start where it can be imported."""
+    root, context = Path(__file__).resolve().parents[2], spark.sparkContext
+    found = [os.getcwd(), *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]
+    if context.applicationId in _shipped or any(Path(f).resolve() == root for f in found):
+        return
+    folder = tempfile.mkdtemp(prefix="quotaline-code-")  # of the driver, which serves it to the executors
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    clean = shutil.copytree(root / __package__.split(".")[0], f"{folder}/{__package__.split('.')[0]}", ignore=shutil.ignore_patterns("__pycache__"))
+    context.addPyFile(shutil.make_archive(f"{folder}/code", "zip", folder, Path(clean).name))
+    _shipped.add(context.applicationId)

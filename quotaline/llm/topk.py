@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotaline.llm import vectors as V
-from quotaline.llm.shared import cut
+from quotaline.llm.shared import cut, ship
 
 BINS = 256
 BLOCK = 2048
@@ -42,6 +42,7 @@ def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 20,
 
     ``is_query`` tells queries by their id; a query's own row is no candidate.
     """
+    ship(vectors.sparkSession)
     rows = V.usable(vectors, id_col, vec_col, lambda x: F.floor(x * scale))
     rows = cut(rows.withColumn("norm", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x))))
     n, longest, n_queries, longest_query = rows.agg(F.count("*"), F.max("norm"), F.count(F.when(is_query(F.col("id")), 1)), F.max(F.when(is_query(F.col("id")), F.col("norm")))).first()

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from quotaline.llm import textbatch as tb
 from quotaline.llm.gam import sigmoid
 from quotaline.llm.labelled import held_out, texts_with
+from quotaline.llm.shared import ship
 
 PARTS, PART = 3, 1
 SAMPLE = 20_000
@@ -244,6 +245,7 @@ def _curve(raw: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, f
 
 def learn(documents: DataFrame, labels: DataFrame, most: int = SAMPLE, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Weights and curve from labelled documents that are not held out."""
+    ship(documents.sparkSession)
     rows = texts_with(documents, labels, label_col, PARTS, PART, most, id_col, text_col)
     n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not n.get(0) or not n.get(1):
@@ -274,6 +276,7 @@ def learn(documents: DataFrame, labels: DataFrame, most: int = SAMPLE, label_col
 
 def scored(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``score`` (0 to 1), ``raw`` (sum of matched clauses) of every row."""
+    ship(documents.sparkSession)
     kind = documents.schema[id_col].dataType.simpleString()
 
     def run(batches):

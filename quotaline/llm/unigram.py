@@ -22,6 +22,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 
 from quotaline.llm import textbatch as tb
+from quotaline.llm.shared import ship
 
 MARK = "▁"
 
@@ -100,6 +101,7 @@ def vocabulary(path: str) -> Vocabulary:
 
 def token_counts(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and ``n_tokens`` of every row; ``path`` is the model file on every machine."""
+    ship(documents.sparkSession)
     kind = documents.schema[id_col].dataType.simpleString()
 
     def run(batches):
