@@ -28,10 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotaline.llm import vectors as V
-from quotaline.llm.shared import cut
+from quotaline.llm.shared import cut, ship
 
 BLOCK = 2048
 QUERIES = 512
+#: Scored pairs that a task holds before it cuts them to each query's best.
+MERGED = 1_000_000
 
 
 def means(points: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -127,6 +129,7 @@ def search(
 
     ``is_query`` tells queries by their id; a query's own row is no candidate.
     """
+    ship(vectors.sparkSession)
     kind = vectors.schema[id_col].dataType.simpleString()
     rows = V.usable(vectors, id_col, vec_col, lambda x: x).where(F.exists("vec", lambda x: x != 0))
     rows = cut(rows.select("id", "vec", "dim"))
@@ -185,7 +188,16 @@ def search(
     queries = V.blocks(V.numbered(rows.where(is_query(F.col("id"))), max(1, math.ceil(n_queries / QUERIES)))).select("dim", "ids", "vecs")
     walks = queries.mapInArrow(probe, "dim int, e_block int, ids array<long>, vecs array<double>, cells array<long>, sizes array<long>, members array<long>")
 
+    def merged(held):
+        query, other, score = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((other, -score, query))
+        query, other, score = query[order], other[order], score[order]
+        top = np.arange(len(query)) - np.searchsorted(query, query) < k
+        return query[top], other[top], score[top]
+
     def rerank(batches):
+        """The best of all blocks of a task, so that rows do not grow with the number of blocks."""
+        held, size, most = [], 0, MERGED
         for batch in batches:
             for r in range(batch.num_rows):
                 dim = batch.column(batch.schema.get_field_index("dim"))[r].as_py()
@@ -202,11 +214,16 @@ def search(
                 # all that may be among the best, scored again in one fixed order of addition
                 row, c = np.nonzero((score >= edge[:, None] - 1e-9 * np.maximum(1, np.abs(edge))[:, None]) & (score > -np.inf))
                 exact = np.einsum("ij,ij->i", q[row], e[c])
-                order = np.lexsort((others[c], -exact, row))
-                row, c, exact = row[order], c[order], exact[order]
-                first = np.searchsorted(row, row)
-                top = np.arange(len(row)) - first < k
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row[top]]), pa.array(others[c[top]]), pa.array(exact[top])], ["query_id", "id", "score"])
+                held.append((ids[row], others[c], exact))
+                size += len(row)
+                if size > most:
+                    held = [merged(held)]
+                    size = len(held[0][0])
+                    if size > most // 2:  # more queries than a task should hold: hand over what there is
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], ["query_id", "id", "score"])
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged(held)], ["query_id", "id", "score"])
 
     found = walks.join(entries, "e_block").mapInArrow(rerank, "query_id long, id long, score double")
     return V.best(found, k).select(F.col("query_id").cast(kind), F.col("rank").cast("int"), F.col("id").cast(kind).alias(id_col), "score")
