@@ -7,8 +7,9 @@ over their reachable product states. Only clauses with an insult or a threat are
 of its matched clauses, and a logistic curve turns that and the strongest clause into a score.
 
 The insults' weights come from data: of the words and word beginnings of labelled toxic documents, those are kept whose
-log odds against labelled clean ones lie ``CERTAIN`` standard errors above zero. A few general words are known from the
-start. Learning uses at most about ``most`` labelled documents that are not held out, at most ``CANDIDATES`` candidate
+log odds against labelled clean ones lie ``CERTAIN`` standard errors above zero and one above ``LEAST_ODDS``. Copies
+and near copies, which share one of a few minwise tokens, count as one document there. A few general words are known
+from the start. Learning uses at most about ``most`` labelled documents that are not held out, at most ``CANDIDATES`` candidate
 beginnings and at most ``LEXICON`` entries; ids, sources, languages and labels are no part of a score.
 
 A null text counts as empty and scores like a text without a match; repeated rows get equal scores; other columns are
@@ -28,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quotaline.llm import shingles
 from quotaline.llm import textbatch as tb
 from quotaline.llm.gam import sigmoid
 from quotaline.llm.labelled import held_out, texts_with
@@ -37,7 +39,10 @@ PARTS, PART = 3, 1
 SAMPLE = 20_000
 CANDIDATES = 50_000
 LEXICON = 5_000
-CERTAIN = 3.5
+CERTAIN = 3.0
+LEAST_ODDS = 2.0
+#: Signature positions that near copies are told by.
+TOLD_BY = 4
 LEAST_DOCS = 3
 BEGINNINGS = range(4, 9)
 
@@ -218,6 +223,29 @@ def _documents_with(rows: DataFrame, wanted: set[str] | None) -> DataFrame:
     return rows.select("text").mapInArrow(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
+def _without_copies(rows: DataFrame) -> DataFrame:
+    """The sampled rows, of near copies only the one with the smallest id."""
+
+    def run(batches):
+        for batch in batches:
+            for texts in tb.slices(batch.column(1)):
+                _, _, signature = shingles.fingerprints(texts)
+                keys = [pa.array(signature[:, k].astype(np.int64)) for k in range(TOLD_BY)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(texts.first, len(texts)), *keys], ["id", *names])
+
+    names = [f"k{k}" for k in range(TOLD_BY)]
+    kind = rows.schema["id"].dataType.simpleString()
+    got = rows.select("id", "text").mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} long" for n in names)).toPandas()  # about the sample's size
+    seen: list[set[int]] = [set() for _ in names]
+    kept = []
+    for row in got.sort_values("id").itertuples(index=False):
+        if not any(key in s for key, s in zip(row[1:], seen)):
+            kept.append((row[0],))
+        for key, s in zip(row[1:], seen):
+            s.add(key)
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(kept, f"id {kind}")), "id")
+
+
 def _curve(raw: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, float, float]:
     """A logistic curve by Newton's method with halved steps; a slope that would be negative is left at zero."""
     x = np.column_stack([np.ones(len(y)), np.minimum(raw, 20)])
@@ -250,15 +278,17 @@ def learn(documents: DataFrame, labels: DataFrame, most: int = SAMPLE, label_col
     n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not n.get(0) or not n.get(1):
         return Model()
-    toxic = _documents_with(rows.where("y = 1"), None).where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "feature").limit(CANDIDATES).toPandas()
+    single = _without_copies(rows)
+    n = {0: 0, 1: 0} | {r["y"]: r["n"] for r in single.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    toxic = _documents_with(single.where("y = 1"), None).where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "feature").limit(CANDIDATES).toPandas()
     inside = dict(zip(toxic["feature"], toxic["n"]))
-    clean = _documents_with(rows.where("y = 0"), set(inside)).toPandas()  # at most CANDIDATES rows
+    clean = _documents_with(single.where("y = 0"), set(inside)).toPandas()  # at most CANDIDATES rows
     outside = dict(zip(clean["feature"], clean["n"]))
     found = []
     for f, a in inside.items():
         b = outside.get(f, 0)
         odds, error = np.log((a + 0.5) / (n[1] + 1)) - np.log((b + 0.5) / (n[0] + 1)), np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-        if odds > CERTAIN * error and _SYMBOL.get(f, INSULT) == INSULT:
+        if odds > CERTAIN * error and odds > LEAST_ODDS + error and _SYMBOL.get(f, INSULT) == INSULT:
             found.append((float(odds - error), f))
     model = Model({f: min(w, 6.0) for w, f in sorted(found, reverse=True)[:LEXICON] if w > 0})
 
