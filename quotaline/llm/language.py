@@ -36,7 +36,7 @@ SAMPLE = 20_000
 BUCKETS = 1 << 15
 SIZES = (1, 2, 3, 4)
 #: Words whose labels are found together.
-TOGETHER = 2_000_000
+TOGETHER = 1_000_000
 #: First and last code points of scripts, from the block table of Unicode; other letters are of script 0.
 SCRIPTS = (
     ("Latin", ((0x41, 0x24F), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xFF21, 0xFF5A))),

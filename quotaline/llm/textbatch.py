@@ -14,9 +14,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Distinct words whose results a Python worker keeps; beyond it, it starts anew before the next slice.
-KEPT_WORDS = 1_200_000
+KEPT_WORDS = 800_000
 
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
@@ -66,7 +66,9 @@ class Texts:
 
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[Texts]:
     """The column's texts in slices of at most ``most`` bytes, or one text; a null is an empty text."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    column = column.cast(pa.large_string())
+    if column.null_count:
+        column = pc.fill_null(column, "")
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     _, at, data = column.buffers()
@@ -80,6 +82,7 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[Texts]:
         end = max(k + 1, int(np.searchsorted(at, at[k] + most, side="right")) - 1)
         yield Texts(k, data[at[k] : at[end]], at[k : end + 1] - at[k])
         k = end
+    pa.default_memory_pool().release_unused()  # of batches gone by
 
 
 @dataclass
@@ -150,7 +153,12 @@ def hashes(texts: Texts, pieces: Pieces) -> np.ndarray:
 
 
 class Kept:
-    """Numbers of distinct words: a hash table of arrays, looked up and filled a whole slice at a time."""
+    """Numbers of distinct words: a hash table of arrays, looked up and filled a whole slice at a time.
+
+    A worker keeps the words of one operator; when the next one starts, they go.
+    """
+
+    _latest: list[tuple[Kept, Callable[[], None]]] = []
 
     def __init__(self, most: int = KEPT_WORDS):
         self.most = most
@@ -193,6 +201,11 @@ class Kept:
 
     def numbers(self, texts: Texts, pieces: Pieces, make: Callable[[list[bytes]], None], reset: Callable[[], None]) -> np.ndarray:
         """Each piece's number; ``make`` gets the new pieces' bytes, in order of their numbers, ``reset`` drops all."""
+        if Kept._latest and Kept._latest[0][0] is not self:
+            other, forget = Kept._latest[0]
+            other.clear()
+            forget()
+        Kept._latest[:] = [(self, reset)]
         if self.size > self.most:
             self.clear()
             reset()
