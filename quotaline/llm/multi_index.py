@@ -122,7 +122,7 @@ def _rows(batch, name: str, dim: int) -> np.ndarray:
 
 
 def search(
-    vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 20, centroids: int = 32, share: float = 0.5, at_least: int = 2000,
+    vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 20, centroids: int = 32, share: float = 0.6, at_least: int = 2000,
     sample: int = 10_000, id_col: str = "vec_id", vec_col: str = "embedding",
 ) -> DataFrame:
     """``query_id``, ``rank``, ``id_col``, ``score``: each query's ``k`` nearest found, by inner product in doubles.

@@ -36,7 +36,7 @@ def test_quality_on_held_out_documents(tables):
 
 def test_toxicity_on_held_out_documents(tables):
     caught, left = accuracy(toxicity.classify(*tables), tables[1], "toxic")
-    assert caught > 0.8 and left > 0.99
+    assert caught > 0.84 and left > 0.99
 
 
 def test_language_on_held_out_documents(tables):
