@@ -1,9 +1,11 @@
 """Approximate nearest neighbours by inner product: an inverted multi-index.
 
 Vectors are cut in two halves and each half is quantised on its own, to one of ``centroids`` means. A vector's cell is
-its pair of means; every vector is listed in its cell. For a query, distances to the means of both halves are sorted,
-and a heap walks the pairs of means by summed distance until the cells seen hold ``share`` of all vectors (and
-``at_least`` of them). The entries of those cells are reranked by their inner product with the query.
+its pair of means; every vector is listed in its cell. For a query, the means of both halves are sorted by the inner
+product that a vector near them may have with the query: that of the mean, and ``REACH`` times the usual size of what
+the vectors differ from it, so that cells of long vectors, which scatter more, come early enough. A heap walks the pairs
+of means by the sum of both until the cells seen hold ``share`` of all vectors (and ``at_least`` of them). The entries of
+those cells are reranked by their inner product with the query. Vectors need not have the same length.
 
 The means are fitted on a sample of at most about ``sample`` vectors, chosen by a hash of the id; all vectors are
 listed. Entry blocks hold a run of cells, or a part of a cell with many entries, so no cell is ever in one task; query
@@ -34,6 +36,8 @@ BLOCK = 2048
 QUERIES = 512
 #: Scored pairs that a task holds before it cuts them to each query's best.
 MERGED = 1_000_000
+#: Standard deviations that a vector may lie beyond its mean, in the query's direction.
+REACH = 2.0
 
 
 def means(points: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -61,8 +65,20 @@ def nearest(points: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return distances(points, centre).argmin(axis=1)
 
 
+def scatter(points: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """For each mean the standard deviation, in any one direction, of the points nearest to it."""
+    near = nearest(points, centre)
+    square = np.bincount(near, weights=((points - centre[near]) ** 2).sum(axis=1), minlength=len(centre))
+    return np.sqrt(square / np.maximum(np.bincount(near, minlength=len(centre)), 1) / max(points.shape[1], 1))
+
+
+def farness(q: np.ndarray, centre: np.ndarray, scattered: np.ndarray) -> np.ndarray:
+    """Less for means whose vectors may have a larger inner product with each query; adds up over halves."""
+    return -(q @ centre.T) - REACH * np.linalg.norm(q, axis=1)[:, None] * scattered
+
+
 def walk(first: np.ndarray, second: np.ndarray, entries: np.ndarray, wanted: int) -> list[int]:
-    """Cells in order of summed distance until they hold ``wanted`` entries; ``entries`` is per pair of means."""
+    """Cells in order of summed farness until they hold ``wanted`` entries; ``entries`` is per pair of means."""
     i_order, j_order = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
     a, b = first[i_order].tolist(), second[j_order].tolist()
     i_, j_, size = i_order.tolist(), j_order.tolist(), entries.tolist()
@@ -85,6 +101,7 @@ class Index:
 
     def __init__(self, sample: dict[int, np.ndarray], centroids: int):
         self.means = {dim: (means(x[:, : dim // 2], centroids), means(x[:, dim // 2 :], centroids)) for dim, x in sample.items()}
+        self.scattered = {dim: (scatter(x[:, : dim // 2], self.means[dim][0]), scatter(x[:, dim // 2 :], self.means[dim][1])) for dim, x in sample.items()}
 
     def cells(self, dim: int, x: np.ndarray) -> np.ndarray:
         if dim not in self.means:
@@ -113,7 +130,8 @@ class Index:
         for (d, cell), m in self.counts.items():
             if d == dim:
                 entries[cell] = m
-        d1, d2 = distances(q[:, : dim // 2], first), distances(q[:, dim // 2 :], second)
+        s1, s2 = self.scattered[dim]
+        d1, d2 = farness(q[:, : dim // 2], first, s1), farness(q[:, dim // 2 :], second, s2)
         return [walk(x, y, entries, max(math.ceil(share * n), at_least)) for x, y in zip(d1, d2)]
 
 

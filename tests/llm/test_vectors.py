@@ -111,3 +111,22 @@ def test_half_of_the_entries_reach_nine_tenths_recall(spark):
         s[q] = -9
         hit += len(found[q] & set(np.argsort(-s)[:20].tolist()))
     assert hit / (60 * 20) >= 0.9
+
+
+@pytest.mark.parametrize("factor", [2.0, 3.0, 10.0, None])
+def test_recall_with_vectors_of_different_lengths(spark, factor):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x *= np.exp(rng.normal(size=(6000, 1)) / 2) if factor is None else np.where(rng.random((6000, 1)) < 1 / 3, factor, 1.0)
+    df = frame(spark, [(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))])
+    found = {}
+    for r in multi_index.search(df, lambda i: i % 100 == 0, k=20).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q in range(0, 6000, 100):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(found[q] & set(np.argsort(-s)[:20].tolist()))
+    print("recall", factor, hit / (60 * 20))
+    assert hit / (60 * 20) >= 0.9
