@@ -139,6 +139,49 @@ def _rows(batch, name: str, dim: int) -> np.ndarray:
     return batch.column(batch.schema.get_field_index(name)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
+def _merged(held: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's ``k`` best of some arrays of query, other and score."""
+    query, other, score = (np.concatenate(x) for x in zip(*held))
+    order = np.lexsort((other, -score, query))
+    query, other, score = query[order], other[order], score[order]
+    top = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[top], other[top], score[top]
+
+
+def _rerank(k: int):
+    def run(batches):
+        """The best of all blocks of a task, so that rows do not grow with the number of blocks."""
+        held, size, most = [], 0, MERGED
+        for batch in batches:
+            for r in range(batch.num_rows):
+                dim = batch.column(batch.schema.get_field_index("dim"))[r].as_py()
+                ids, others, cells, sizes, members, here = (V.matrix(batch, c, r, np.int64) for c in ("ids", "e_ids", "cells", "sizes", "members", "e_cells"))
+                q, e = (V.matrix(batch, c, r, np.float64).reshape(-1, dim) for c in ("vecs", "e_vecs"))
+                score = np.full((len(q), len(e)), -np.inf)
+                for cell, begin, count in zip(cells.tolist(), (np.cumsum(sizes) - sizes).tolist(), sizes.tolist()):
+                    a, b = np.searchsorted(here, [cell, cell + 1]).tolist()
+                    who = members[begin : begin + count]
+                    score[who, a:b] = q[who] @ e[a:b].T
+                score[ids[:, None] == others[None, :]] = -np.inf
+                m = min(k, len(e))
+                edge = np.partition(score, len(e) - m, axis=1)[:, len(e) - m]
+                # all that may be among the best, scored again in one fixed order of addition
+                row, c = np.nonzero((score >= edge[:, None] - 1e-9 * np.maximum(1, np.abs(edge))[:, None]) & (score > -np.inf))
+                exact = np.einsum("ij,ij->i", q[row], e[c])
+                held.append((ids[row], others[c], exact))
+                size += len(row)
+                if size > most:
+                    held = [_merged(held, k)]
+                    size = len(held[0][0])
+                    if size > most // 2:  # more queries than a task should hold: hand over what there is
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], ["query_id", "id", "score"])
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _merged(held, k)], ["query_id", "id", "score"])
+
+    return run
+
+
 def search(
     vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 20, centroids: int = 32, share: float = 0.6, at_least: int = 2000,
     sample: int = 10_000, id_col: str = "vec_id", vec_col: str = "embedding",
@@ -206,42 +249,5 @@ def search(
     queries = V.blocks(V.numbered(rows.where(is_query(F.col("id"))), max(1, math.ceil(n_queries / QUERIES)))).select("dim", "ids", "vecs")
     walks = queries.mapInArrow(probe, "dim int, e_block int, ids array<long>, vecs array<double>, cells array<long>, sizes array<long>, members array<long>")
 
-    def merged(held):
-        query, other, score = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((other, -score, query))
-        query, other, score = query[order], other[order], score[order]
-        top = np.arange(len(query)) - np.searchsorted(query, query) < k
-        return query[top], other[top], score[top]
-
-    def rerank(batches):
-        """The best of all blocks of a task, so that rows do not grow with the number of blocks."""
-        held, size, most = [], 0, MERGED
-        for batch in batches:
-            for r in range(batch.num_rows):
-                dim = batch.column(batch.schema.get_field_index("dim"))[r].as_py()
-                ids, others, cells, sizes, members, here = (V.matrix(batch, c, r, np.int64) for c in ("ids", "e_ids", "cells", "sizes", "members", "e_cells"))
-                q, e = (V.matrix(batch, c, r, np.float64).reshape(-1, dim) for c in ("vecs", "e_vecs"))
-                score = np.full((len(q), len(e)), -np.inf)
-                for cell, begin, size in zip(cells.tolist(), (np.cumsum(sizes) - sizes).tolist(), sizes.tolist()):
-                    a, b = np.searchsorted(here, [cell, cell + 1]).tolist()
-                    who = members[begin : begin + size]
-                    score[who, a:b] = q[who] @ e[a:b].T
-                score[ids[:, None] == others[None, :]] = -np.inf
-                m = min(k, len(e))
-                edge = np.partition(score, len(e) - m, axis=1)[:, len(e) - m]
-                # all that may be among the best, scored again in one fixed order of addition
-                row, c = np.nonzero((score >= edge[:, None] - 1e-9 * np.maximum(1, np.abs(edge))[:, None]) & (score > -np.inf))
-                exact = np.einsum("ij,ij->i", q[row], e[c])
-                held.append((ids[row], others[c], exact))
-                size += len(row)
-                if size > most:
-                    held = [merged(held)]
-                    size = len(held[0][0])
-                    if size > most // 2:  # more queries than a task should hold: hand over what there is
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], ["query_id", "id", "score"])
-                        held, size = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged(held)], ["query_id", "id", "score"])
-
-    found = walks.join(entries, "e_block").mapInArrow(rerank, "query_id long, id long, score double")
+    found = walks.join(entries, "e_block").mapInArrow(_rerank(k), "query_id long, id long, score double")
     return V.best(found, k).select(F.col("query_id").cast(kind), F.col("rank").cast("int"), F.col("id").cast(kind).alias(id_col), "score")

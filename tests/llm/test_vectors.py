@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quotaline.llm import multi_index, topk
@@ -130,3 +131,26 @@ def test_recall_with_vectors_of_different_lengths(spark, factor):
         hit += len(found[q] & set(np.argsort(-s)[:20].tolist()))
     print("recall", factor, hit / (60 * 20))
     assert hit / (60 * 20) >= 0.9
+
+
+@pytest.mark.parametrize("most", [120, 40])
+def test_a_task_holds_a_bounded_number_of_pairs(monkeypatch, most):
+    """10 queries beside 8 blocks of 12 entries; 3 best each are 30 pairs a block."""
+    rng = np.random.default_rng(5)
+    q, e = rng.normal(size=(10, 4)), rng.normal(size=(96, 4))
+    held, merge = [], multi_index._merged
+    monkeypatch.setattr(multi_index, "MERGED", most)
+    monkeypatch.setattr(multi_index, "_merged", lambda rows, k: held.append(sum(len(r[0]) for r in rows)) or merge(rows, k))
+
+    def batches():
+        for b in range(8):
+            yield pa.RecordBatch.from_pydict({
+                "dim": [4], "ids": [list(range(1000, 1010))], "vecs": [q.ravel()], "cells": [[b]], "sizes": [[10]], "members": [list(range(10))],
+                "e_cells": [[b] * 12], "e_ids": [list(range(12 * b, 12 * b + 12))], "e_vecs": [e[12 * b : 12 * b + 12].ravel()],
+            })
+
+    rows = [r for out in multi_index._rerank(3)(batches()) for r in out.to_pylist()]
+    assert len(held) > 1 and max(held) <= most + 30
+    for i in range(10):
+        own = sorted((-r["score"], r["id"]) for r in rows if r["query_id"] == 1000 + i)[:3]
+        assert [x for _, x in own] == np.argsort(-(e @ q[i]))[:3].tolist()
