@@ -22,6 +22,24 @@ def sampled(rows: DataFrame, id_col: str, most: int) -> DataFrame:
     return rows if n <= most else rows.where(F.pmod(F.xxhash64(id_col, F.lit("learn")), F.lit(1_000_000)) < int(1e6 * most / n))
 
 
+def sampled_of_each(rows: DataFrame, id_col: str, of: str, most: int) -> DataFrame:
+    """All rows, or about ``most`` of them: all of the rarer values of ``of``, equally many of each of the others.
+
+    The driver gets a row per value. Only with more than ``most`` values some may be left out.
+    """
+    counts = rows.groupBy(of).count().collect()
+    if sum(r["count"] for r in counts) <= most:
+        return rows
+    rates, left = [], most
+    for k, r in enumerate(sorted(counts, key=lambda r: r["count"])):
+        share = min(r["count"], left / (len(counts) - k))
+        rates.append((r[of], int(1e6 * share / r["count"])))
+        left -= share
+    rated = F.broadcast(rows.sparkSession.createDataFrame(rates, f"of {rows.schema[of].dataType.simpleString()}, rate int"))
+    drawn = F.pmod(F.xxhash64(id_col, F.lit("learn")), F.lit(1_000_000)) < F.col("rate")
+    return rows.join(rated, rows[of] == rated["of"]).where(drawn).select(*rows.columns)
+
+
 def texts_with(documents: DataFrame, labels: DataFrame, label_col: str, parts: int, part: int, most: int, id_col: str, text_col: str) -> DataFrame:
     """``text`` and ``y`` of about ``most`` labelled documents that are not held out.
 

@@ -7,7 +7,8 @@ n-grams' log probabilities there; words without letters say nothing. Over a text
 with the highest sum of scores, less a penalty for each change of language. Runs of equal labels are the spans; the
 language with most letters in them is the text's, and its share of the letters the score.
 
-Learned from the text and language of at most about ``most`` documents that are not held out; the driver gets at most
+Learned from the text and language of at most about ``most`` documents that are not held out, all of those in rarer
+languages and equally many in each of the others, so every language is learned; the driver gets at most
 ``BUCKETS`` counts a language. Texts are labelled where they are read, all texts of a few slices in step: words of the
 same place in their texts are handled together, longest texts first.
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotaline.llm import textbatch as tb
-from quotaline.llm.labelled import held_out, sampled
+from quotaline.llm.labelled import held_out, sampled_of_each
 from quotaline.llm.shared import ship
 
 PARTS, PART = 4, 2
@@ -216,7 +217,7 @@ def learn(documents: DataFrame, most: int = SAMPLE, id_col: str = "doc_id", text
         langs = [k[0] for k in total]
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([k[1] for k in total], pa.int32()), pa.array(list(total.values()), pa.int64())], ["lang", "place", "n"])
 
-    counts = sampled(known, "id", most).select("text", "lang").mapInArrow(run, "lang string, place int, n long")
+    counts = sampled_of_each(known, "id", "lang", most).select("text", "lang").mapInArrow(run, "lang string, place int, n long")
     got = counts.groupBy("lang", "place").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS + scripts a language
     languages = sorted(set(got["lang"]))
     n = np.zeros((BUCKETS + len(SCRIPTS) + 1, len(languages)))

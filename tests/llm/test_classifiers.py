@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quotaline.llm import gam, language, quality, toxicity
+from quotaline.llm import gam, labelled, language, quality, toxicity
 from quotaline.llm import textbatch as tb
 
 FOLDER = "/root/testdata/sf0.1"
@@ -155,3 +155,13 @@ def test_viterbi_against_all_labellings():
         best = max(map(value, product(range(3), repeat=n)))
         assert value(got[at : at + n].tolist()) == pytest.approx(best, abs=1e-5)
         at += n
+
+
+def test_a_rare_language_is_learned_from_a_sample(spark):
+    rows = [(i, "the house and the garden", "en") for i in range(6000)] + [(6000 + i, "das haus und der garten", "de") for i in range(3000)]
+    rows += [(9000 + i, "talo ja puutarha", "fi") for i in range(4)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language.learn(documents, 200).languages == ["de", "en", "fi"]
+    drawn = labelled.sampled_of_each(documents, "doc_id", "lang", 200)
+    n = {r["lang"]: r["count"] for r in drawn.groupBy("lang").count().collect()}
+    assert n["fi"] == 4 and all(60 <= n[x] <= 140 for x in ("de", "en")) and drawn.columns == documents.columns
