@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quotaline.llm import bpe, chat, language, multi_index, neardup, packing, quality, topk, toxicity, unigram, whitening
+from quotaline.llm import bpe, chat, idfiles, language, multi_index, neardup, packing, quality, topk, toxicity, unigram, whitening
+from quotaline.llm.shared import own_folder
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -62,12 +63,18 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict(table(spark, folder, "documents"))
 
 
+def op12_binary_output(spark: SparkSession, folder: str) -> DataFrame:
+    files = own_folder(spark, "ids")
+    idfiles.write(table(spark, folder, "documents"), WORD_BPE, files)
+    return idfiles.read(spark, files, with_ids=False)
+
+
 def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.by_component(whitening.whiten(table(spark, folder, "embeddings")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_packing, op3_toxicity, op4_chat_formatting, op5_bpe, op6_exact_top_k, op7_near_duplicates, op8_token_counts, op9_nearest_neighbours, op10_language_id, op13_embedding_whitening)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_packing, op3_toxicity, op4_chat_formatting, op5_bpe, op6_exact_top_k, op7_near_duplicates, op8_token_counts, op9_nearest_neighbours, op10_language_id, op12_binary_output, op13_embedding_whitening)}
 
 
 #: Formatted length of a turn: 12 + 11 characters of the template, a line feed, role and escaped text.

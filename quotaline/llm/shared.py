@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,19 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, removed when the driver's process ends."""
+    folder = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, folder)
+    return folder
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    if spark.sparkContext._jsc is not None:  # else the session has ended already
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def tasks(spark: SparkSession) -> int:
     """Tasks that keep all cores busy with work that is small for its number of rows."""
     return 2 * spark.sparkContext.defaultParallelism
