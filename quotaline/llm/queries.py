@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quotaline.llm import bpe, chat, idfiles, language, multi_index, neardup, packing, quality, topk, toxicity, unigram, whitening
+from quotaline.llm import bpe, chat, idfiles, language, multi_index, neardup, packing, phrases, quality, topk, toxicity, unigram, whitening
 from quotaline.llm.shared import own_folder
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -63,6 +63,10 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict(table(spark, folder, "documents"))
 
 
+def op11_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
 def op12_binary_output(spark: SparkSession, folder: str) -> DataFrame:
     files = own_folder(spark, "ids")
     idfiles.write(table(spark, folder, "documents"), WORD_BPE, files)
@@ -74,7 +78,7 @@ def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_packing, op3_toxicity, op4_chat_formatting, op5_bpe, op6_exact_top_k, op7_near_duplicates, op8_token_counts, op9_nearest_neighbours, op10_language_id, op12_binary_output, op13_embedding_whitening)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_packing, op3_toxicity, op4_chat_formatting, op5_bpe, op6_exact_top_k, op7_near_duplicates, op8_token_counts, op9_nearest_neighbours, op10_language_id, op11_phrase_collocations, op12_binary_output, op13_embedding_whitening)}
 
 
 #: Formatted length of a turn: 12 + 11 characters of the template, a line feed, role and escaped text.
@@ -129,6 +133,40 @@ SELECT d.doc_id, coalesce(sized.n, 0) AS n_shingles, c.component_id, d.doc_id =
 FROM documents d LEFT JOIN sized USING (doc_id) JOIN (SELECT doc_id, min(r) AS component_id FROM reached GROUP BY doc_id) c USING (doc_id)
 """
 
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+runs AS (
+  SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM worded, (VALUES (1), (2), (3)) AS t (k) WHERE len(w) >= k
+), counted AS MATERIALIZED (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f FROM runs GROUP BY ALL
+), candidates AS (
+  SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM counted WHERE k >= 2 AND f >= 10
+), parts AS (
+  SELECT *, 1 AS j, w[1] AS head, array_to_string(w[2 : k], ' ') AS tail FROM candidates
+  UNION ALL SELECT *, 2, array_to_string(w[1 : 2], ' '), w[3] FROM candidates WHERE k = 3
+), cuts AS (
+  SELECT p.*, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
+  FROM parts p JOIN counted x ON x.lang = p.lang AND x.phrase = p.head JOIN counted y ON y.lang = p.lang AND y.phrase = p.tail
+), lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+), longer AS (
+  SELECT lang, phrase, max(a) AS a FROM (
+    SELECT lang, array_to_string(w[1 : 2], ' ') AS phrase, a FROM candidates WHERE k = 3
+    UNION ALL SELECT lang, array_to_string(w[2 : 3], ' '), a FROM candidates WHERE k = 3
+  ) GROUP BY ALL
+), kept AS (
+  SELECT s.lang, s.phrase, s.a, s.l, s.r, s.score FROM lowest s LEFT JOIN longer o ON o.lang = s.lang AND o.phrase = s.phrase
+  WHERE o.a IS NULL OR 100 * o.a < 50 * s.a
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS INTEGER) AS rank FROM kept
+), totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM worded GROUP BY lang)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": OP4_SQL, "op6_exact_top_k": OP6_SQL, "op7_near_duplicates": OP7_SQL}
+    return {"op4_chat_formatting": OP4_SQL, "op6_exact_top_k": OP6_SQL, "op7_near_duplicates": OP7_SQL, "op11_phrase_collocations": OP11_SQL}
