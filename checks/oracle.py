@@ -321,6 +321,29 @@ _SHEET = f"""
     FROM sheet"""
 _OF_REP, _OF_REGION, _IN_REGION = f"WHERE rep_id = '{REP}'", f"WHERE region = '{REGION}'", f"WHERE rep_region = '{REGION}'"
 _NEWEST = "ORDER BY CAST(invoice_date AS DATE) DESC NULLS FIRST, invoice_id LIMIT 500"
+_REJECTED = " UNION ALL ".join(
+    f"SELECT '{entity}' AS entity, f.fate, count(r.fate) AS n FROM (VALUES {', '.join(f'({x})' for x in (chr(39) + 'kept' + chr(39), *(chr(39) + name + chr(39) for name in reasons)))}) AS f (fate) "
+    f"LEFT JOIN (SELECT CASE {' '.join(f'WHEN {test} THEN {chr(39)}{name}{chr(39)}' for name, test in reasons.items())} ELSE 'kept' END AS fate FROM raw_{entity}) r ON r.fate = f.fate GROUP BY f.fate"
+    for entity, reasons in {
+        "sales_reps": {"no id": "rep_id IS NULL", "no name": "rep_name IS NULL"},
+        "customers": {"no id": "customer_id IS NULL", "no name": "customer_name IS NULL"},
+        "invoices": {"no id": "invoice_id IS NULL", "no amount": "NOT coalesce(invoice_amount > 0, FALSE)", "no status": "status IS NULL", "cancelled": "status = 'Cancelled'"},
+        "orders": {"no id": "order_id IS NULL", "no amount": "NOT coalesce(order_amount > 0, FALSE)"},
+        "deals": {"no id": "deal_id IS NULL", "no amount": "NOT coalesce(deal_amount > 0, FALSE)", "no stage": "stage IS NULL", "lost": "stage = 'Closed Lost'"},
+    }.items()
+)
+# Invoices of the second half of a month come with a second refresh, as do some reps and customers of those before.
+_CHANGES = """
+SELECT d.invoice_id, CASE WHEN NOT (k.change = 'update_before' AND late_rep) THEN d.rep_name END AS rep_name,
+  CASE WHEN NOT (k.change = 'update_before' AND late_customer) THEN d.customer_name END AS customer_name, k.change
+FROM (
+  SELECT invoice_id, rep_name, customer_name, day(CAST(invoice_date AS DATE)) > 15 AS is_late,
+    coalesce(rep_id LIKE '%7', FALSE) AND rep_name IS NOT NULL AS late_rep,
+    coalesce(customer_id LIKE '%3', FALSE) AND customer_name IS NOT NULL AS late_customer
+  FROM details
+) d JOIN (VALUES ('insert'), ('update_before'), ('update_after')) AS k (change)
+ON (k.change = 'insert') = d.is_late AND (d.is_late OR late_rep OR late_customer)
+"""
 _LAST_MONTH = "ORDER BY CAST(month_date AS DATE) DESC LIMIT 1"
 
 
@@ -552,4 +575,15 @@ def statements() -> dict[str, str]:
                 manager_name AS approved_by FROM override"""
         ),
         "export_csv": _rows("summary", _MONTHLY),
+        "append_feedback_once": _rows("adjustment", _FEEDBACK),
+        "refresh_in_deltas": gold_tables,
+        "gold_change_feed": _statement(_CHANGES),
+        "rejected_rows": _statement(_REJECTED),
+        "compacted_batches": _statement("SELECT * FROM raw_invoices"),
+        "write_interleaved": _rows("summary", _SUMMARY),
+        "published_invoice_details_all": _rows("details", _DETAILS, _NEWEST),
+        "published_invoice_details_rep": _rows("details", _DETAILS, f"{_OF_REP} {_NEWEST}"),
+        "published_invoice_details_region": _rows("details", _DETAILS, f"{_IN_REGION} {_NEWEST}"),
+        "published_month_kpis": _rows("month_total", _KPIS, _LAST_MONTH),
+        "published_month_kpis_as_of": _rows("month_total", _KPIS, f"WHERE month_date <= '1999-06-30' {_LAST_MONTH}"),
     }

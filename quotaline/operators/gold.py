@@ -17,6 +17,7 @@ from quotaline.sources import schemas as S
 INVOICE_MEASURES = ("total_invoiced", "total_recognized", "invoice_count")
 ORDER_MEASURES = ("total_confirmed_orders", "confirmed_order_count", "shipped_revenue")
 DEAL_MEASURES = ("total_pipeline_value", "total_weighted_pipeline", "active_deal_count")
+CATEGORY_MEASURES = INVOICE_MEASURES
 
 
 def _invoice_facts(invoices: DataFrame) -> DataFrame:
@@ -83,16 +84,19 @@ def gold_rep_monthly_summary(
 ) -> DataFrame:
     """Invoices, confirmed orders and open pipeline side by side, one row per rep and month seen in any of them.
 
-    The three rollups are stacked and grouped once more. The stack keeps their common partitioning, so the only
-    shuffles are of the rollups' partial sums; no facts are joined, and a rep filter on the result reaches all three
-    inputs. A row without rep or month belongs to no common group: it is kept apart by the name of its fact, as an
-    outer join would leave it unmatched.
+    The only shuffles are of the rollups' partial sums; no facts are joined.
     """
-    rollups = {
-        "invoices": invoice_month_rollup(invoices),
-        "orders": order_month_rollup(orders),
-        "deals": deal_month_rollup(deals),
-    }
+    return summary_of_rollups(invoice_month_rollup(invoices), order_month_rollup(orders), deal_month_rollup(deals), reps)
+
+
+def summary_of_rollups(invoices: DataFrame, orders: DataFrame, deals: DataFrame, reps: DataFrame) -> DataFrame:
+    """The summary from the three rollups by rep and month.
+
+    The rollups are stacked and grouped once more. The stack keeps their common partitioning, and a rep filter on the
+    result reaches all three inputs. A row without rep or month belongs to no common group: it is kept apart by the
+    name of its fact, as an outer join would leave it unmatched.
+    """
+    rollups = {"invoices": invoices, "orders": orders, "deals": deals}
     keyless = F.col("rep_id").isNull() | F.col("month_date").isNull()
     stacked = reduce(
         lambda above, below: above.unionByName(below, allowMissingColumns=True),
@@ -141,12 +145,42 @@ def gold_invoice_details(invoices: DataFrame, reps: DataFrame, customers: DataFr
     )
 
 
-def gold_category_summary(invoices: DataFrame) -> DataFrame:
-    """Revenue by month and product category."""
+def category_rollup(invoices: DataFrame) -> DataFrame:
+    """Sums and counts by month and product category."""
     by_month = invoices.groupBy(month_of("invoice_date").alias("month_date"), "product_category")
     return by_month.agg(
         F.sum("invoice_amount").alias("total_invoiced"),
         F.sum("recognized_revenue").alias("total_recognized"),
         F.count("*").alias("invoice_count"),
-        F.avg("invoice_amount").alias("avg_invoice_amount"),
     )
+
+
+def category_summary_of_rollup(rollup: DataFrame) -> DataFrame:
+    """The category summary from its sums and counts; the average has the digits that ``avg`` gives money."""
+    average = (F.col("total_invoiced") / F.col("invoice_count")).cast("decimal(22,6)")
+    return rollup.withColumn("avg_invoice_amount", average)
+
+
+def gold_category_summary(invoices: DataFrame) -> DataFrame:
+    """Revenue by month and product category."""
+    return category_summary_of_rollup(category_rollup(invoices))
+
+
+#: The rollups that can be kept as states: their keys, their measures, and how they are made of new facts.
+ROLLUPS = {
+    "invoices": (("rep_id", "month_date"), INVOICE_MEASURES, invoice_month_rollup),
+    "orders": (("rep_id", "month_date"), ORDER_MEASURES, order_month_rollup),
+    "deals": (("rep_id", "month_date"), DEAL_MEASURES, deal_month_rollup),
+    "categories": (("month_date", "product_category"), CATEGORY_MEASURES, category_rollup),
+}
+
+
+def merged(states: list[DataFrame], name: str) -> DataFrame:
+    """States of disjoint facts put together: the rollup of all their facts, types included.
+
+    Sums and counts add up, so facts that came later need none of the facts before them.
+    """
+    keys, measures, _ = ROLLUPS[name]
+    kinds = dict(states[0].dtypes)
+    stacked = reduce(DataFrame.unionByName, states)
+    return stacked.groupBy(*keys).agg(*[F.sum(m).cast(kinds[m]).alias(m) for m in measures]).select(*states[0].columns)

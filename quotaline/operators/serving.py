@@ -9,11 +9,12 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quotaline.operators.gold import gold_category_summary
+from quotaline.sinks import manifest
 from quotaline.sinks.app_tables import decoded
 from quotaline.sources import schemas as S
 
@@ -79,6 +80,13 @@ def invoice_details(
     return ordered if rows is None else ordered.limit(rows)
 
 
+def published_invoice_details(
+    spark: SparkSession, root: str, rep_id: str | None = None, region: str | None = None, rows: int = DRILL_DOWN_ROWS
+) -> DataFrame:
+    """``invoice_details`` of the gold tables published under ``root``, from the files that can hold the newest rows."""
+    return manifest.newest(spark, root, "gold_invoice_details", "invoice_date", "invoice_id", rows, rep_id or None, build_filter(None, region))
+
+
 def category_summary(
     categories: DataFrame, invoices: DataFrame | None = None, region: str | None = None
 ) -> DataFrame:

@@ -67,6 +67,35 @@ def silver_deals(bronze: DataFrame, strict: bool = True) -> DataFrame:
     )
 
 
+KEPT = "kept"
+
+
+def _missing(column: str) -> Column:
+    return F.col(column).isNull()
+
+
+def _no_amount(column: str) -> Column:
+    return F.coalesce(~(F.col(column) > 0), F.lit(True))
+
+
+def rejections(entity: str) -> dict[str, Column]:
+    """Why an entity's rows are left out, in order: a row counts under the first that holds, and is kept if none does."""
+    return {
+        "sales_reps": lambda: {"no id": _missing("rep_id"), "no name": _missing("rep_name")},
+        "customers": lambda: {"no id": _missing("customer_id"), "no name": _missing("customer_name")},
+        "invoices": lambda: {"no id": _missing("invoice_id"), "no amount": _no_amount("invoice_amount"), "no status": _missing("status"), "cancelled": F.col("status") == S.STATUS_CANCELLED},
+        "orders": lambda: {"no id": _missing("order_id"), "no amount": _no_amount("order_amount")},
+        "deals": lambda: {"no id": _missing("deal_id"), "no amount": _no_amount("deal_amount"), "no stage": _missing("stage"), "lost": F.col("stage") == S.STAGE_LOST},
+    }[entity]()
+
+
+def counted(entity: str) -> list[Column]:
+    """Aggregates that count an entity's raw rows by what becomes of them: kept, or the first reason that holds."""
+    reasons = rejections(entity)
+    fate = F.coalesce(*[F.when(test, F.lit(name)) for name, test in reasons.items()], F.lit(KEPT))
+    return [F.count(F.when(fate == name, 1)).alias(name) for name in (KEPT, *reasons)]
+
+
 def newest_by_key(df: DataFrame, key: str) -> DataFrame:
     """One row per key: the last ingested, ties broken by the row's values.
 

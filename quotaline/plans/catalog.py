@@ -17,13 +17,13 @@ from pyspark.sql import types as T
 from quotaline.operators import dashboard, forecast, gold, profile, review, serving
 from quotaline.plans import refresh, reports
 from quotaline.plans.scratch import scratch_folder
-from quotaline.sinks import app_tables
-from quotaline.sinks.clustered import write_clustered
+from quotaline.sinks import app_tables, batchfolders, folders, manifest
+from quotaline.sinks.clustered import write_clustered, write_interleaved
 from quotaline.sinks.csv_report import CSV_OPTIONS
-from quotaline.sinks.snapshot import read_gold, snapshot_sync
+from quotaline.sinks.snapshot import changes, read_gold, snapshot_sync
 from quotaline.sources import star
-from quotaline.sources.landing import land_parquet
-from quotaline.sources.schemas import ENTITIES, GOLD_LAYOUT
+from quotaline.sources.landing import add_files, land_parquet
+from quotaline.sources.schemas import ENTITIES, GOLD_KEY, GOLD_LAYOUT
 from quotaline.streaming import bronze
 
 REGION = "ASIA"
@@ -97,6 +97,33 @@ class Lake:
         months = serving.monthly_summary(self.summary, rep_id, region)
         return forecast.rep_adjusted_forecast(months, serving.read_feedback(self.feedback, rep_id))
 
+    @cached_property
+    def published(self) -> str:
+        """A folder where the gold tables are published."""
+        folder = self.scratch("published")
+        refresh.refresh_gold(self.silver, folder)
+        return folder
+
+    @cached_property
+    def deltas(self) -> tuple[str, dict]:
+        """A folder with a lake refreshed twice, and what its first refresh published.
+
+        First come the facts of the first half of each month, without some of the reps and customers; then the rest.
+        """
+        folder = self.scratch("deltas")
+        late = {
+            "sales_reps": F.col("rep_id").endswith("7"),
+            "customers": F.col("customer_id").endswith("3"),
+            **{name: F.substring(day, 9, 2) > "15" for name, day in refresh.DAY.items()},
+        }
+        first = {}
+        for part in (False, True):
+            for name, rows in self.raw.items():
+                add_files(name, rows.where(F.coalesce(late[name], F.lit(False)) == part), f"{folder}/landing")
+            refresh.refresh(self.spark, f"{folder}/landing", f"{folder}/lake", f"{folder}/serving")
+            first = first or folders.published(self.spark, f"{folder}/lake")
+        return folder, first
+
     def scratch(self, label: str) -> str:
         return scratch_folder(self.spark, label)
 
@@ -177,6 +204,41 @@ def _refreshed_gold(lake: Lake) -> DataFrame:
     return _stacked(read_gold(lake.spark, folder))
 
 
+def _refreshed_in_deltas(lake: Lake) -> DataFrame:
+    folder, _ = lake.deltas
+    return _stacked(read_gold(lake.spark, f"{folder}/serving"))
+
+
+def _change_feed(lake: Lake) -> DataFrame:
+    """What the second refresh changed in the invoice details."""
+    folder, first = lake.deltas
+    now = folders.published(lake.spark, f"{folder}/lake")
+    feed = changes(lake.spark, f"{folder}/lake", "gold_invoice_details", first, now)
+    return feed.select("invoice_id", "rep_name", "customer_name", "change")
+
+
+def _rejected_rows(lake: Lake) -> DataFrame:
+    folder, _ = lake.deltas
+    return refresh.rejected_rows(lake.spark, f"{folder}/lake")
+
+
+def _interleaved(lake: Lake) -> DataFrame:
+    path = lake.scratch("interleaved")
+    write_interleaved(lake.summary, path, GOLD_LAYOUT["gold_rep_monthly_summary"], GOLD_KEY["gold_rep_monthly_summary"], files=16)
+    return lake.spark.read.parquet(path)
+
+
+def _compacted(lake: Lake, entity: str) -> DataFrame:
+    """One batch a landed file, merged level by level."""
+    folder = lake.scratch(f"compacted-{entity}")
+    for part in range(5):
+        rows = lake.raw[entity].where(F.pmod(F.xxhash64(ENTITIES[entity].key), F.lit(5)) == part)
+        add_files(entity, rows.coalesce(1), f"{folder}/landing")
+    bronze.ingest(lake.spark, entity, f"{folder}/landing/{entity}", f"{folder}/bronze", f"{folder}/checkpoint", max_bytes_per_trigger=1)
+    batchfolders.compact(lake.spark, f"{folder}/bronze", fanout=2)
+    return bronze.read_bronze(lake.spark, entity, f"{folder}/bronze").select(*ENTITIES[entity].schema.names)
+
+
 def _appended(lake: Lake, table: str, append: Callable[[DataFrame, str], None], rows: DataFrame) -> DataFrame:
     """Append to a table of a schema made for it; what comes back reads the files, and the schema goes again."""
     folder = lake.scratch("app")
@@ -185,7 +247,7 @@ def _appended(lake: Lake, table: str, append: Callable[[DataFrame, str], None],
     try:
         app_tables.ensure_app_tables(lake.spark, namespace, folder)
         append(rows, namespace)
-        return lake.spark.read.schema(app_tables.TABLES[table]).parquet(f"{folder}/{table}")
+        return app_tables.read(lake.spark, table, f"{folder}/{table}")
     finally:
         lake.spark.sql(f"DROP SCHEMA {namespace} CASCADE")
 
@@ -195,6 +257,16 @@ def _appended_feedback(lake: Lake) -> DataFrame:
     return _flat(serving.read_feedback(_appended(lake, "sales_feedback", app_tables.append_feedback, rows)))
 
 
+def _appended_once(lake: Lake) -> DataFrame:
+    """An append that is tried twice."""
+
+    def twice(rows: DataFrame, namespace: str) -> None:
+        for _ in range(2):
+            app_tables.append_feedback(rows, namespace, key="submissions")
+
+    return _flat(serving.read_feedback(_appended(lake, "sales_feedback", twice, lake.feedback)))
+
+
 def _appended_overrides(lake: Lake) -> DataFrame:
     rows = star.manager_overrides(lake.silver["sales_reps"])
     return review.override_summary(_appended(lake, "manager_overrides", app_tables.append_override, rows))
@@ -310,6 +382,18 @@ _QUERIES: dict[str, Callable[[Lake], DataFrame]] = {
     "snapshot_sync": _synced,
     "append_feedback": _appended_feedback,
     "append_override": _appended_overrides,
+    "append_feedback_once": _appended_once,
+    # incremental: two refreshes, merged batches, reads by the statistics of published files
+    "refresh_in_deltas": _refreshed_in_deltas,
+    "gold_change_feed": _change_feed,
+    "rejected_rows": _rejected_rows,
+    "compacted_batches": lambda lake: _compacted(lake, "invoices"),
+    "write_interleaved": _interleaved,
+    "published_invoice_details_all": lambda lake: serving.published_invoice_details(lake.spark, lake.published),
+    "published_invoice_details_rep": lambda lake: serving.published_invoice_details(lake.spark, lake.published, rep_id=REP),
+    "published_invoice_details_region": lambda lake: serving.published_invoice_details(lake.spark, lake.published, region=REGION),
+    "published_month_kpis": lambda lake: dashboard.current_month_kpis(manifest.latest_month(lake.spark, lake.published)),
+    "published_month_kpis_as_of": lambda lake: dashboard.current_month_kpis(manifest.latest_month(lake.spark, lake.published, as_of=AS_OF)),
     "export_csv": _exported,
 }
 

@@ -1,13 +1,22 @@
 """The whole refresh: landing folders to bronze, silver, gold and the serving copy.
 
-Every layer only takes in what is new. Bronze grows by batches of files; silver by the same batches; gold recomputes
-the months that new rows belong to, or everything when reps or customers changed. What is written becomes visible by
-publishing a version: readers see the former tables until all new ones are complete, and a failed run leaves them as
-they were. From a shell: ``python -m quotaline.plans.refresh LANDING OUT [SERVING]``.
+Every layer only takes in what is new. Bronze grows by batches of files; silver by the same batches. Gold keeps, beside
+its tables, the rollups of the facts as states, and takes in new facts and changed dimensions as deltas:
+
+- New facts are rolled up and merged into the states of their months. The monthly and the category summary of those
+  months are made of the states, so no other fact of a month is read again.
+- New detail rows are added to their months as files of their own. A month with ``MOST_FILES`` of them is rewritten.
+- Reps and customers that came or changed are told by comparing hashes of the rows before and now. The files that hold
+  one of their keys are found by their statistics and by reading that column alone, and only those are rewritten: rows of
+  other keys are copied, theirs made again from the facts of those keys and months.
+
+What is written becomes visible by publishing a version: readers see the former tables until all new ones are complete,
+and a failed run leaves them as they were. From a shell: ``python -m quotaline.plans.refresh LANDING OUT [SERVING]``.
 """
 
 from __future__ import annotations
 
+import json
 import sys
 import uuid
 from collections.abc import Callable, Iterable, Mapping
@@ -16,15 +25,16 @@ from datetime import date
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quotaline.functions.typed import month_of
 from quotaline.operators import gold, silver
 from quotaline.session import configure, sized_for
-from quotaline.sinks import folders
-from quotaline.sinks.clustered import ranged, write_clustered
-from quotaline.sinks.snapshot import read_gold, snapshot_sync
+from quotaline.sinks import batchfolders, folders, manifest
+from quotaline.sinks.clustered import by_month, clustered, with_blooms, write_clustered
+from quotaline.sinks.manifest import NO_MONTH, PART, Files, described, entries, read_entries
+from quotaline.sinks.snapshot import read_gold, sync_changes
 from quotaline.sources.schemas import ENTITIES, GOLD_KEY, GOLD_LAYOUT
 from quotaline.streaming.bronze import BATCH, BATCH_BYTES, batches, read_bronze, start_ingest
 
@@ -47,16 +57,18 @@ GOLD: dict[str, Callable[[Mapping[str, DataFrame]], DataFrame]] = {
     "gold_category_summary": lambda s: gold.gold_category_summary(s["invoices"]),
 }
 
-# The day that puts a fact into a month, and the facts that a gold table's months depend on.
+# The day that puts a fact into a month, and that of the gold tables' rows.
 DAY = {"invoices": "invoice_date", "orders": "order_date", "deals": "expected_close_date"}
-FACTS = {
-    "gold_rep_monthly_summary": ("invoices", "orders", "deals"),
-    "gold_active_deals": ("deals",),
-    "gold_invoice_details": ("invoices",),
-    "gold_category_summary": ("invoices",),
-}
-_PART = "month_part"
-NO_MONTH = "none"
+GOLD_DAY = {table: layout[0] for table, layout in GOLD_LAYOUT.items()}
+# The tables with a row for each fact, and the states that each other table is made of.
+COUNTS = "_counts"
+DETAILS = {"gold_active_deals": "deals", "gold_invoice_details": "invoices"}
+STATES = {"gold_rep_monthly_summary": ("invoices", "orders", "deals"), "gold_category_summary": ("categories",)}
+STATE_FACT = {"invoices": "invoices", "orders": "orders", "deals": "deals", "categories": "invoices"}
+#: Files of a month beyond which an addition rewrites the month.
+MOST_FILES = 32
+#: Changed keys up to which they are looked up as a list, by files' bounds and Parquet's filters; a join beyond.
+FEW_KEYS = 1000
 
 
 def _together(work: Callable, items: Iterable) -> list:
@@ -88,82 +100,328 @@ def update_silver(spark: SparkSession, out: str, strict: bool = True) -> None:
         source, target = f"{out}/bronze_{name}", f"{out}/silver_{name}"
         new = sorted(set(batches(spark, source)) - set(batches(spark, target)))
         if new:
-            writer = SILVER[name](read_bronze(spark, name, source, only=new), strict).write
+            counts = Observation()
+            rows = read_bronze(spark, name, source, only=new).observe(counts, *silver.counted(name))
+            writer = SILVER[name](rows, strict).write
             writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BATCH).parquet(target)
+            _store_counts(spark, target, new, counts.get)
 
     _together(update, SILVER)
 
 
+def _store_counts(spark: SparkSession, table: str, numbers: list[int], counts: Mapping[str, int]) -> None:
+    try:
+        folders.write_once(spark, f"{table}/{COUNTS}/{numbers[0]}-{numbers[-1]}-{uuid.uuid4().hex}", json.dumps({"batches": numbers, "counts": dict(counts)}))
+    except FileExistsError:
+        pass
+
+
+def rejected_rows(spark: SparkSession, out: str) -> DataFrame:
+    """``entity``, ``fate`` and ``n``: how many ingested rows were kept, and how many left out for which reason.
+
+    Counted while silver was written, without a pass of its own; only batches whose counts a crash kept from being
+    stored are read again.
+    """
+    total = {(name, fate): 0 for name in SILVER for fate in (silver.KEPT, *silver.rejections(name))}
+
+    def count(name: str) -> None:
+        table, seen = f"{out}/silver_{name}", set()
+        for file in folders.names(spark, f"{table}/{COUNTS}"):
+            stored = json.loads(folders.read(spark, f"{table}/{COUNTS}/{file}"))
+            if not seen & set(stored["batches"]):
+                seen |= set(stored["batches"])
+                for fate, n in stored["counts"].items():
+                    total[name, fate] += n
+        left = sorted(set(batches(spark, table)) - seen)
+        if left:
+            found = read_bronze(spark, name, f"{out}/bronze_{name}", only=left).agg(*silver.counted(name)).first().asDict()
+            for fate, n in found.items():
+                total[name, fate] += n
+            _store_counts(spark, table, left, found)
+
+    _together(count, SILVER)
+    return spark.createDataFrame([(name, fate, n) for (name, fate), n in total.items()], "entity string, fate string, n long")
+
+
 def read_silver(spark: SparkSession, out: str) -> dict[str, DataFrame]:
     """The silver tables; without rows where nothing was ingested. Batch numbers are carried where there are any."""
-    empty = {n: SILVER[n](read_bronze(spark, n, f"{out}/bronze_{n}").limit(0)) for n in ENTITIES}
-    return {n: spark.read.parquet(f"{out}/silver_{n}") if folders.names(spark, f"{out}/silver_{n}") else empty[n] for n in ENTITIES}
 
+    def read(name: str) -> DataFrame:
+        table = f"{out}/silver_{name}"
+        rows = batchfolders.read(spark, table)
+        if rows is None and folders.names(spark, table):  # replaced as a whole by refresh_silver
+            rows = spark.read.parquet(table)
+        return rows if rows is not None else SILVER[name](read_bronze(spark, name, f"{out}/bronze_{name}").limit(0))
+
+    return {name: read(name) for name in ENTITIES}
+
+
+def compact(spark: SparkSession, out: str, fanout: int = batchfolders.FANOUT) -> None:
+    """Merge small batches of the bronze and silver tables, their rows in the tables' layouts."""
+
+    def merge(item) -> None:
+        table, keys = item
+        batchfolders.compact(spark, table, lambda rows: clustered(rows, keys), fanout)
 
-def _in_months(day: str, months: list[date | None]) -> Column:
+    layouts = [(f"{out}/bronze_{n}", ENTITIES[n].bronze_layout) for n in ENTITIES] + [(f"{out}/silver_{n}", ENTITIES[n].silver_layout) for n in ENTITIES]
+    _together(merge, layouts)
+
+
+def _in_months(day: str, months: Iterable[date | None]) -> Column:
     """Whether a day lies in one of the months, as ranges that reach the files."""
     tests = [F.col(day).isNull() if m is None else F.col(day).between(F.lit(m), F.last_day(F.lit(m))) for m in months]
-    return reduce(or_, tests)
+    return reduce(or_, tests, F.lit(False))
+
+
+def _name(month: date | None) -> str:
+    return NO_MONTH if month is None else f"{month:%Y-%m}"
+
+
+def _month(name: str) -> date | None:
+    return None if name == NO_MONTH else date.fromisoformat(f"{name}-01")
 
 
 def _write_months(rows: DataFrame, table: str, path: str) -> None:
-    """Write a gold table's rows with a folder per month, in the table's layout."""
-    month = F.coalesce(F.date_format(GOLD_LAYOUT[table][0], "yyyy-MM"), F.lit(NO_MONTH))
-    ranged(rows, GOLD_LAYOUT[table], GOLD_KEY[table]).withColumn(_PART, month).write.partitionBy(_PART).parquet(path)
-
-
-def _publish(spark: SparkSession, out: str, build: Mapping[str, DataFrame], seen: dict, kept: Mapping[str, dict]) -> None:
-    """Write gold rows to a new version and publish it with the ``kept`` months of the version before."""
-    version = f"version-{uuid.uuid4().hex}"
-    _together(lambda table: _write_months(build[table], table, f"{out}/{version}/{table}"), build)
-    tables = {table: dict(kept.get(table, {})) for table in GOLD}
-    for table, rows in build.items():
-        parts = [n for n in folders.names(spark, f"{out}/{version}/{table}") if "=" in n]
-        tables[table] |= {n.split("=")[1]: f"{version}/{table}/{n}" for n in parts}
-        if not tables[table]:  # a table without rows still has columns
-            rows.limit(0).write.mode("overwrite").parquet(f"{out}/{version}/{table}/{NO_MONTH}")
-            tables[table] = {NO_MONTH: f"{version}/{table}/{NO_MONTH}"}
-    folders.publish(spark, out, {"tables": tables, "silver": seen})
-    folders.sweep(spark, out)
+    """Write a table's rows with a folder per month, in the table's layout."""
+    layout = (*GOLD_LAYOUT[table], GOLD_KEY[table]) if table in GOLD_LAYOUT else gold.ROLLUPS[table][0]
+    day = layout[0] if table in GOLD_LAYOUT else "month_date"
+    month = F.coalesce(F.date_format(day, "yyyy-MM"), F.lit(NO_MONTH))
+    with_blooms(by_month(rows.withColumn(PART, month), PART, list(dict.fromkeys(layout)))).partitionBy(PART).parquet(path)
+
+
+class Version:
+    """A version in the making: what is written for it, and the files it keeps of the one before."""
+
+    def __init__(self, spark: SparkSession, out: str, state: dict | None):
+        self.spark, self.out, self.folder = spark, out, f"version-{uuid.uuid4().hex}"
+        self.before = state or {}
+        self.files = {layer: {t: {m: list(f) for m, f in files.items()} for t, files in self.before.get(layer, {}).items()} for layer in ("tables", "states")}
+
+    def write(self, layer: str, table: str, rows: DataFrame, label: str = "new") -> Files:
+        """Write rows, and return their files by month; the version does not name them yet."""
+        folder = f"{self.folder}/{layer}/{table}/{label}"
+        _write_months(rows, table, f"{self.out}/{folder}")
+        return described(self.spark, self.out, folder, GOLD_DAY[table] if layer == "tables" else "month_date")
+
+    def kept_columns(self, layer: str, table: str, rows: DataFrame) -> None:
+        """A table without rows still has columns."""
+        if not entries(self.files[layer].setdefault(table, {})):
+            folder = f"{self.folder}/{layer}/{table}/empty/{PART}={NO_MONTH}"
+            rows.limit(0).write.mode("overwrite").parquet(f"{self.out}/{folder}")
+            self.files[layer][table] = {NO_MONTH: [{"path": folder, "rows": 0, "low": None, "high": None, "undated": 0}]}
+
+    def replace(self, layer: str, table: str, new: Files, months: Iterable[str]) -> None:
+        """The new files instead of those of these months."""
+        files = self.files[layer].setdefault(table, {})
+        for m in set(months) | set(new):
+            files.pop(m, None)
+        files |= new
+
+    def add(self, layer: str, table: str, new: Files) -> None:
+        files = self.files[layer].setdefault(table, {})
+        if any(e["rows"] == 0 for e in files.get(NO_MONTH, [])):  # the file of an empty table
+            files.pop(NO_MONTH)
+        for m, some in new.items():
+            files[m] = files.get(m, []) + some
+
+    def read(self, layer: str, table: str, months: Iterable[str] | None = None) -> DataFrame | None:
+        return read_entries(self.spark, self.out, entries(self.files[layer].get(table, {}), months))
+
+    def publish(self, **more) -> None:
+        folders.publish(self.spark, self.out, {**self.files, **more}, after=self.before.get("number"))
+        folders.sweep(self.spark, self.out)
+
+
+def _publish_whole(spark: SparkSession, out: str, cleaned: Mapping[str, DataFrame], seen: dict, dedupe: bool, before: dict | None) -> None:
+    """Recompute all tables and states and publish them."""
+    version = Version(spark, out, {"number": before["number"]} if before else None)
+    facts = {name: cleaned[STATE_FACT[name]] for name in gold.ROLLUPS}
+    work = [("tables", t, build(cleaned)) for t, build in GOLD.items()]
+    work += [("states", n, make(facts[n])) for n, (_, _, make) in gold.ROLLUPS.items()] if seen else []
+
+    def write(item) -> None:
+        layer, table, rows = item
+        version.replace(layer, table, version.write(layer, table, rows), [])
+        version.kept_columns(layer, table, rows)
+
+    _together(write, work)
+    version.publish(silver=seen, dedupe=dedupe)
 
 
 def refresh_gold(cleaned: Mapping[str, DataFrame], out: str) -> None:
     """Recompute and publish all gold tables."""
     spark = cleaned["invoices"].sparkSession
-    _publish(spark, out, {table: build(cleaned) for table, build in GOLD.items()}, {}, {})
+    _publish_whole(spark, out, cleaned, {}, False, folders.published(spark, out))
+
+
+def changed_keys(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """The keys whose rows differ between two versions of a dimension, rows counted as often as they occur.
+
+    Every row is hashed twice (with its audit columns left out); what a key's rows add up to tells whether they differ.
+    """
+    used = [c for c in new.columns if c not in ("_ingested_at", BATCH)]
+
+    def signed(rows: DataFrame, sign: int) -> DataFrame:
+        marks = [F.xxhash64(*[F.lit(salt), *(F.col(c) for c in used)]).cast("decimal(38,0)") * sign for salt in (1, 2)]
+        return rows.select(key, F.lit(sign).alias("n"), marks[0].alias("m1"), marks[1].alias("m2"))
+
+    both = signed(old, -1).unionByName(signed(new, 1))
+    sums = both.groupBy(key).agg(F.sum("n").alias("n"), F.sum("m1").alias("m1"), F.sum("m2").alias("m2"))
+    return sums.where("n <> 0 OR m1 <> 0 OR m2 <> 0").select(key)
+
+
+class Changed:
+    """The changed keys of a dimension: a list of them while they are few, else a table."""
+
+    def __init__(self, key: str, keys: DataFrame):
+        self.key = key
+        few = [r[0] for r in keys.limit(FEW_KEYS + 1).collect()]
+        self.few = sorted(few) if len(few) <= FEW_KEYS else None
+        self.keys = keys
+
+    def __bool__(self) -> bool:
+        return self.few is None or bool(self.few)
+
+    def among(self, rows: DataFrame) -> DataFrame:
+        return rows.where(F.col(self.key).isin(self.few)) if self.few is not None else rows.join(self.keys, self.key, "left_semi").select(*rows.columns)
+
+    def other(self, rows: DataFrame) -> DataFrame:
+        """Rows of other keys and without key."""
+        if self.few is not None:
+            return rows.where(F.col(self.key).isNull() | ~F.col(self.key).isin(self.few)) if self.few else rows
+        return rows.join(self.keys, self.key, "left_anti").select(*rows.columns)
+
+    def may_be_in(self, entry: dict) -> bool:
+        if self.few is None or self.key != "rep_id" or "low_rep" not in entry:
+            return True
+        return entry["low_rep"] is not None and any(entry["low_rep"] <= k <= entry["high_rep"] for k in self.few)
+
+
+def _holding(spark: SparkSession, out: str, files: Files, changed: list[Changed]) -> Files:
+    """The files that hold a row with a changed key: those that their bounds allow are asked, by that column alone."""
+    found: set[str] = set()
+    for c in changed:
+        rows = read_entries(spark, out, [e for e in entries(files) if e["rows"] and c.may_be_in(e)])
+        if rows is not None and c.key in rows.columns:
+            named = c.among(rows.select(c.key, F.col("_metadata.file_path").alias("file"))).select("file").distinct()
+            found |= {"/".join(r["file"].split("/")[-2:]) for r in named.collect()}  # a row for each file
+    kept = {m: [e for e in some if "/".join(e["path"].split("/")[-2:]) in found] for m, some in files.items()}
+    return {m: some for m, some in kept.items() if some}
+
+
+def _rewrite(version: Version, table: str, old: Files, changed: list[Changed], again: DataFrame) -> None:
+    """Replace the files that hold changed keys: other rows as they are, those of changed keys made again."""
+    rest = read_entries(version.spark, version.out, entries(old))
+    for c in changed:
+        rest = c.other(rest) if c.key in rest.columns else rest
+    new = version.write("tables", table, rest.unionByName(again), "changed")
+    gone = {e["path"] for e in entries(old)}
+    files = version.files["tables"][table]
+    for m in list(files):
+        files[m] = [e for e in files[m] if e["path"] not in gone]
+        if not files[m]:
+            del files[m]
+    version.add("tables", table, new)
+
+
+def _of_changed(facts: DataFrame, changed: list[Changed]) -> DataFrame:
+    """The facts with any changed key, each once."""
+    parts, rest = [], facts
+    for c in changed:
+        if c.key in facts.columns:
+            parts.append(c.among(rest))
+            rest = c.other(rest)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def update_gold(spark: SparkSession, out: str, dedupe: bool = False) -> list[date | None] | None:
-    """Publish gold with the silver batches it has not seen; returns the months recomputed, or None for all.
+    """Publish gold with the silver batches it has not seen; returns the months written, or None for all.
 
-    New facts touch the months of their days only. New reps or customers can appear in any row, as can rows that
-    ``dedupe`` drops, so those recompute everything.
+    With ``dedupe`` a new fact can replace one of any month, so new facts recompute everything; changed dimensions do not.
     """
     cleaned, state = read_silver(spark, out), folders.published(spark, out)
     now = {name: batches(spark, f"{out}/silver_{name}") for name in ENTITIES}
     before = (state or {}).get("silver", {})
     new = {name: sorted(set(now[name]) - set(before.get(name, []))) for name in ENTITIES}
-    if dedupe:
-        cleaned = {n: silver.newest_by_key(rows.drop(BATCH), ENTITIES[n].key) for n, rows in cleaned.items()}
-    if not before or dedupe or new["sales_reps"] or new["customers"]:
-        _publish(spark, out, {table: build(cleaned) for table, build in GOLD.items()}, now if not dedupe else {}, {})
+
+    def seen(name: str, numbers: list[int] | None = None) -> DataFrame:
+        rows = cleaned[name] if numbers is None else cleaned[name].where(F.col(BATCH).isin(numbers)) if numbers else cleaned[name].limit(0)
+        return silver.newest_by_key(rows.drop(BATCH), ENTITIES[name].key) if dedupe else rows.drop(BATCH)
+
+    whole = {name: seen(name) for name in ENTITIES}
+    if not before or "states" not in state or state.get("dedupe", False) != dedupe or dedupe and any(new[f] for f in DAY):
+        _publish_whole(spark, out, whole, now, dedupe, state)
         return None
-    touched = {
-        fact: [r[0] for r in cleaned[fact].where(F.col(BATCH).isin(new[fact])).select(month_of(day)).distinct().collect()]  # one row a month
-        for fact, day in DAY.items()
-        if new[fact]
-    }
-    build, kept, months = {}, {}, set()
-    for table, facts in FACTS.items():
-        kept[table] = state["tables"][table]
-        here = list({m for fact in facts for m in touched.get(fact, [])})
-        if here:
-            months |= set(here)
-            part = {n: rows.where(_in_months(DAY[n], here)) if n in facts else rows for n, rows in cleaned.items()}
-            build[table] = GOLD[table](part)
-    if build or now != before:
-        _publish(spark, out, build, now, kept)
-    return sorted(months, key=lambda m: m or date.min)
+    if now == before:
+        return []
+    changed = [
+        Changed(ENTITIES[d].key, changed_keys(seen(d, before.get(d, [])), whole[d], ENTITIES[d].key))
+        for d in ("sales_reps", "customers")
+        if new[d]
+    ]
+    changed = [c for c in changed if c]
+    version, touched = Version(spark, out, state), {}
+
+    def merge(name: str) -> None:
+        """New facts into a state."""
+        fact = STATE_FACT[name]
+        if new[fact]:
+            fresh = gold.ROLLUPS[name][2](cleaned[fact].where(F.col(BATCH).isin(new[fact])))
+            months = {_name(r[0]) for r in fresh.select("month_date").distinct().collect()}  # one row a month
+            held = version.read("states", name, months)
+            files = version.write("states", name, fresh if held is None else gold.merged([held, fresh], name))
+            version.replace("states", name, files, months)
+            touched[name] = months
+
+    def details(table: str) -> None:
+        """A table of details: files that hold changed keys, then the rows of new facts."""
+        fact = DETAILS[table]
+        old = _holding(spark, out, state["tables"][table], changed)
+        if old:
+            facts = cleaned[fact].where(F.col(BATCH).isin(before[fact])).drop(BATCH) if not dedupe else whole[fact]
+            facts = facts.where(_in_months(DAY[fact], [_month(m) for m in old]))
+            _rewrite(version, table, old, changed, GOLD[table](whole | {fact: _of_changed(facts, changed)}))
+        touched[table] = set(old)
+        if new[fact]:
+            files = version.files["tables"][table]
+            fresh = GOLD[table](whole | {fact: cleaned[fact].where(F.col(BATCH).isin(new[fact])).drop(BATCH)})
+            found = version.write("tables", table, fresh)
+            version.add("tables", table, found)
+            full = [m for m in found if len(files.get(m, [])) > MOST_FILES]
+            if full:
+                version.replace("tables", table, version.write("tables", table, version.read("tables", table, full), "full"), full)
+            touched[table] |= set(found)
+
+    def summarize(table: str) -> None:
+        """A table of states: the months that facts touched, and the files that hold changed reps."""
+        months = set().union(*(touched.get(n, set()) for n in STATES[table]))
+        if months:
+            version.replace("tables", table, version.write("tables", table, made(table, months)), months)
+        own = [c for c in changed if c.key == "rep_id" and table == "gold_rep_monthly_summary"]
+        old = _holding(spark, out, {m: f for m, f in state["tables"][table].items() if m not in months}, own) if own else {}
+        if old:
+            _rewrite(version, table, old, own, made(table, set(old), own[0].among))
+        touched[table] = months | set(old)
+
+    def made(table: str, months: set[str], of: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+        states = []
+        for name in STATES[table]:
+            rows = version.read("states", name, months)
+            if rows is None:
+                rows = gold.ROLLUPS[name][2](whole[STATE_FACT[name]].limit(0))
+            states.append(of(rows))
+        return gold.summary_of_rollups(*states, whole["sales_reps"]) if table == "gold_rep_monthly_summary" else gold.category_summary_of_rollup(*states)
+
+    _together(lambda task: task[0](task[1]), [*((merge, n) for n in gold.ROLLUPS), *((details, t) for t in DETAILS)])
+    _together(summarize, STATES)
+    for layer, named in (("tables", GOLD), ("states", gold.ROLLUPS)):
+        for table in named:
+            rows = version.read(layer, table)
+            if rows is None:
+                rows = GOLD[table](whole) if layer == "tables" else gold.ROLLUPS[table][2](whole[STATE_FACT[table]])
+                version.kept_columns(layer, table, rows)
+    version.publish(silver=now, dedupe=dedupe)
+    return sorted({_month(m) for t in GOLD for m in touched.get(t, ())}, key=lambda m: m or date.min)
 
 
 def refresh(
@@ -174,16 +432,20 @@ def refresh(
     strict: bool = True,
     dedupe: bool = False,
     max_bytes_per_trigger: int = BATCH_BYTES,
+    rejected: str | None = None,
+    archive: str | None = None,
 ) -> dict[str, DataFrame]:
     """Take in what is new under ``landing``, bring silver and gold under ``out`` up to date, copy gold to ``serving``.
 
-    If one entity's ingest fails, the others are stopped; what they had committed stays and is not read again.
+    If one entity's ingest fails, the others are stopped; what they had committed stays and is not read again. Files
+    that do not fit are set aside in ``rejected``, if given, and fail the ingest otherwise. ``archive`` takes the landed
+    files once they are in.
     Returns the gold tables as published.
     """
     running = []
     try:
         for n in ENTITIES:
-            running.append(start_ingest(spark, n, f"{landing}/{n}", f"{out}/bronze_{n}", f"{out}/checkpoints/{n}", max_bytes_per_trigger))
+            running.append(start_ingest(spark, n, f"{landing}/{n}", f"{out}/bronze_{n}", f"{out}/checkpoints/{n}", max_bytes_per_trigger, f"{archive}/{n}" if archive else None, rejected))
         for query in running:
             query.awaitTermination()
     finally:
@@ -194,7 +456,8 @@ def refresh(
         update_gold(spark, out, dedupe)
         tables = read_gold(spark, out)
         if serving:
-            snapshot_sync(tables, serving)
+            sync_changes(spark, out, serving)
+    compact(spark, out)
     return tables
 
 

@@ -1,14 +1,17 @@
-"""Full copies of the gold tables for serving, and reading published tables."""
+"""Copies of the gold tables for serving, reading published tables, and what changed between two versions."""
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quotaline.sinks import folders
-from quotaline.sinks.clustered import ranged
+from quotaline.sinks.clustered import by_month, ranged, with_blooms
+from quotaline.sinks.manifest import NO_MONTH, PART, described, entries, read_entries
 from quotaline.sources.schemas import GOLD_KEY, GOLD_LAYOUT, SERVING_LAYOUT
 
 
@@ -21,13 +24,93 @@ def snapshot_sync(gold: Mapping[str, DataFrame], serving: str) -> dict[str, str]
     """
     spark = next(iter(gold.values())).sparkSession
     version = f"version-{uuid.uuid4().hex}"
-    for name in GOLD_LAYOUT:
-        ranged(gold[name], SERVING_LAYOUT[name], GOLD_KEY[name]).write.parquet(f"{serving}/{version}/{name}")
-    folders.publish(spark, serving, {"tables": {name: {"all": f"{version}/{name}"} for name in GOLD_LAYOUT}})
+
+    def copy(name: str) -> None:
+        with_blooms(ranged(gold[name], SERVING_LAYOUT[name], GOLD_KEY[name])).parquet(f"{serving}/{version}/{name}")
+
+    with ThreadPoolExecutor(len(GOLD_LAYOUT)) as pool:
+        list(pool.map(copy, GOLD_LAYOUT))
+    folders.publish(spark, serving, {"tables": {name: {"all": [{"path": f"{version}/{name}"}]} for name in GOLD_LAYOUT}})
     folders.sweep(spark, serving)
     return {name: f"{serving}/{version}/{name}" for name in GOLD_LAYOUT}
 
 
+def sync_changes(spark: SparkSession, root: str, serving: str) -> list[str]:
+    """Bring the serving copies up to the published gold tables; returns the months written, over all tables.
+
+    A month whose gold files are those that the copies were made of keeps its files; every other month is written anew,
+    its rows ordered by region and rep. The new state of all tables is published in one step, and remembers of which
+    gold files it was made.
+    """
+    gold, state = folders.published(spark, root), folders.published(spark, serving)
+    if gold is None:
+        raise FileNotFoundError(f"nothing was published in {root}")
+    source = {t: {m: [e["path"] for e in some] for m, some in gold["tables"][t].items()} for t in GOLD_LAYOUT}
+    before = (state or {}).get("source", {})
+    version = f"version-{uuid.uuid4().hex}"
+
+    def copy(table: str) -> tuple[str, dict, list[str]]:
+        was, now = before.get(table, {}), source[table]
+        months = [m for m in now if now[m] != was.get(m)]
+        files = {m: some for m, some in (state or {}).get("tables", {}).get(table, {}).items() if m in now and m not in months}
+        rows = read_entries(spark, root, entries(gold["tables"][table], months))
+        if rows is not None:
+            day = GOLD_LAYOUT[table][0]
+            folder = f"{version}/{table}"
+            named = rows.withColumn(PART, F.coalesce(F.date_format(day, "yyyy-MM"), F.lit(NO_MONTH)))
+            order = dict.fromkeys((*SERVING_LAYOUT[table], GOLD_KEY[table]))
+            with_blooms(by_month(named, PART, list(order))).partitionBy(PART).parquet(f"{serving}/{folder}")
+            files |= described(spark, serving, folder, day)
+            if not entries(files):
+                rows.limit(0).write.parquet(f"{serving}/{folder}/empty")
+                files = {NO_MONTH: [{"path": f"{folder}/empty", "rows": 0, "low": None, "high": None, "undated": 0}]}
+        return table, files, months
+
+    with ThreadPoolExecutor(len(GOLD_LAYOUT)) as pool:
+        done = list(pool.map(copy, GOLD_LAYOUT))
+    if source != before:
+        folders.publish(spark, serving, {"tables": {t: files for t, files, _ in done}, "source": source}, after=(state or {}).get("number"))
+        folders.sweep(spark, serving)
+    return sorted({m for _, _, months in done for m in months})
+
+
+#: What tells the rows of a gold table apart.
+KEYS = {
+    "gold_rep_monthly_summary": ("rep_id", "month_date"),
+    "gold_active_deals": ("deal_id",),
+    "gold_invoice_details": ("invoice_id",),
+    "gold_category_summary": ("month_date", "product_category"),
+}
+INSERT, DELETE, BEFORE, AFTER = "insert", "delete", "update_before", "update_after"
+
+
+def changes(spark: SparkSession, root: str, table: str, old: dict, new: dict) -> DataFrame:
+    """The rows of a table that differ between two published states of a root, with their ``change``.
+
+    Only files that one state names and the other does not are read. A key on one side only is an insert or a delete;
+    rows of a key on both sides come as they were and as they are. Equal rows count as often as they occur: removing
+    the deletes and befores from the old table and adding the inserts and afters gives the new one.
+    """
+    paths = [{e["path"] for e in entries(state["tables"][table])} for state in (old, new)]
+    sides = []
+    for state, mine, other in ((old, *paths), (new, *reversed(paths))):
+        rows = read_entries(spark, root, [e for e in entries(state["tables"][table]) if e["path"] in mine - other])
+        sides.append(rows if rows is not None else read_entries(spark, root, entries(state["tables"][table])[:1]).limit(0))
+    gone, come = sides[0].exceptAll(sides[1]), sides[1].exceptAll(sides[0])
+    keys = KEYS[table]
+    tagged = gone.withColumn("is_new", F.lit(False)).unionByName(come.withColumn("is_new", F.lit(True)))
+    both = tagged.groupBy(*[F.col(k).alias(f"key_{k}") for k in keys]).agg((F.min("is_new") != F.max("is_new")).alias("both"))
+    same = [F.col(k).eqNullSafe(F.col(f"key_{k}")) for k in keys]
+    kind = F.when(F.col("both"), F.when(F.col("is_new"), AFTER).otherwise(BEFORE)).otherwise(F.when(F.col("is_new"), INSERT).otherwise(DELETE))
+    return tagged.join(both, same).select(*gone.columns, kind.alias("change"))
+
+
+def applied(copy: DataFrame, feed: DataFrame) -> DataFrame:
+    """A copy of the old table with a change feed applied: the new table."""
+    rows = feed.where(F.col("change").isin(DELETE, BEFORE)).drop("change")
+    return copy.exceptAll(rows).unionByName(feed.where(F.col("change").isin(INSERT, AFTER)).drop("change"))
+
+
 def jdbc_options(url: str, table: str, connections: int, batch_rows: int = 10_000, **properties: str) -> dict[str, str]:
     """Options of a replacing JDBC write that keeps the table's definition.
 
@@ -55,4 +138,4 @@ def read_gold(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     state = folders.published(spark, root)
     if state is None:
         raise FileNotFoundError(f"nothing was published in {root}")
-    return {name: spark.read.parquet(*[f"{root}/{f}" for f in sorted(state["tables"][name].values())]) for name in GOLD_LAYOUT}
+    return {name: read_entries(spark, root, entries(state["tables"][name])) for name in GOLD_LAYOUT}

@@ -1,18 +1,27 @@
-"""Incremental ingest: every file of a landing folder reaches its bronze table exactly once."""
+"""Incremental ingest: every file of a landing folder reaches its bronze table exactly once.
+
+Footers are read once a file: what the files before them hold, and which they were, is kept beside the stream's
+checkpoint (a mark of 16 characters a file). New files are checked before a batch begins: one that is no Parquet file, or
+holds a column in a type that the table's does not take, stops the ingest, or with ``rejected`` is set aside there with
+its reason while all others arrive.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from quotaline.sinks import folders
+from quotaline.sinks import batchfolders, folders
+from quotaline.sinks.batchfolders import BATCH
 from quotaline.sinks.clustered import clustered
 from quotaline.sources.schemas import ENTITIES
 
 INGESTED_AT, SOURCE_FILE = "_ingested_at", "_source_file"
-BATCH = "ingest_batch"
 #: A backlog is read in batches of so many bytes unless the caller says otherwise.
 BATCH_BYTES = 256 << 30
 #: Files count however old they are: the source's own limit, a week, would skip late ones without a word.
@@ -26,17 +35,80 @@ def with_audit_columns(files: DataFrame) -> DataFrame:
     )
 
 
-def landed_schema(spark: SparkSession, entity: str, folder: str) -> T.StructType:
-    """The entity's declared columns, and after them those that files in the folder have besides.
+REJECTED_FILES = T.StructType([T.StructField(n, T.StringType()) for n in ("entity", "file", "reason")] + [T.StructField("rejected_at", T.TimestampType())])
+#: What a column takes besides its own type: types that the Parquet reader widens without loss.
+WIDENED = {"bigint": ("tinyint", "smallint", "int"), "double": ("float", "tinyint", "smallint", "int"), "int": ("tinyint", "smallint")}
+
+
+def _clash(schema: T.StructType, known: T.StructType) -> str | None:
+    """Why a file's columns do not fit those known, or None."""
+    types = {f.name.lower(): f.dataType.simpleString() for f in known.fields}
+    for f in schema.fields:
+        kind, wanted = f.dataType.simpleString(), types.get(f.name.lower(), f.dataType.simpleString())
+        if kind != wanted and kind not in WIDENED.get(wanted, ()):
+            return f"column {f.name} is {kind}, not {wanted}"
+    return None
+
 
-    Reads the files' footers. A column that two files hold in types that do not merge is an error.
+def _merged(known: T.StructType, schema: T.StructType) -> T.StructType:
+    """The known columns, and after them those that files hold besides."""
+    names = {n.lower() for n in known.names}
+    return T.StructType([*known.fields, *[f for f in schema.fields if f.name.lower() not in names]])
+
+
+def checked(spark: SparkSession, folder: str, files: list[str], known: T.StructType, reject: Callable[[str, str], None]) -> T.StructType:
+    """The known columns and those of the files that fit; ``reject`` gets each file that does not, and why.
+
+    All footers are read together, by Spark; only if that fails, or what it finds does not fit, by halves.
     """
-    declared = ENTITIES[entity].schema
-    if not folders.names(spark, folder):
-        return declared
-    known = {n.lower() for n in declared.names}
-    landed = spark.read.option("mergeSchema", "true").parquet(folder).schema
-    return T.StructType([*declared.fields, *[f for f in landed.fields if f.name.lower() not in known]])
+    if not files:
+        return known
+    try:
+        schema = spark.read.option("mergeSchema", "true").parquet(*[f"{folder}/{f}" for f in files]).schema
+        reason = _clash(schema, known)
+    except Exception as e:  # whatever the reader makes of a file that it cannot read
+        reason = str(e).splitlines()[0][:300]
+    if reason is None:
+        return _merged(known, schema)
+    if len(files) == 1:
+        reject(files[0], reason)
+        return known
+    half = len(files) // 2
+    return checked(spark, folder, files[half:], checked(spark, folder, files[:half], known, reject), reject)
+
+
+def read_rejected(spark: SparkSession, rejected: str) -> DataFrame:
+    """The files that were set aside: entity, name, reason and time."""
+    return spark.read.schema(REJECTED_FILES).parquet(f"{rejected}/files") if folders.exists(spark, f"{rejected}/files") else spark.createDataFrame([], REJECTED_FILES)
+
+
+def landed_schema(spark: SparkSession, entity: str, folder: str, checkpoint: str | None = None, rejected: str | None = None) -> T.StructType:
+    """The entity's declared columns, and after them those that files in the folder have, or had, besides.
+
+    With ``checkpoint``, only the footers of files that came since the last call are read.
+    """
+    place = None if checkpoint is None else f"{checkpoint}/footers"
+    state = (folders.published(spark, place) if place else None) or {}
+    known = T.StructType.fromJson(state["schema"]) if state else ENTITIES[entity].schema
+    seen, present = set(state.get("seen", ())), folders.marks(spark, folder)
+    gone: list[tuple] = []
+
+    def reject(name: str, reason: str) -> None:
+        if rejected is None:
+            raise ValueError(f"{folder}/{name}: {reason}")
+        folders.ensure(spark, f"{rejected}/{entity}")
+        folders.move(spark, f"{folder}/{name}", f"{rejected}/{entity}/{name}")
+        gone.append((entity, name, reason, datetime.now(timezone.utc).replace(tzinfo=None)))
+
+    new = sorted(n for n, mark in present.items() if mark not in seen)
+    schema = checked(spark, folder, new, known, reject)
+    if gone:
+        spark.createDataFrame(gone, REJECTED_FILES).coalesce(1).write.mode("append").parquet(f"{rejected}/files")
+    if place and new:
+        left = set(present) - {name for _, name, _, _ in gone}
+        folders.publish(spark, place, {"tables": {}, "schema": schema.jsonValue(), "seen": sorted(present[n] for n in left)}, after=state.get("number"))
+        folders.sweep(spark, place)
+    return schema
 
 
 def read_landing_stream(
@@ -45,14 +117,16 @@ def read_landing_stream(
     folder: str,
     max_bytes_per_trigger: int = BATCH_BYTES,
     archive: str | None = None,
+    checkpoint: str | None = None,
+    rejected: str | None = None,
 ) -> DataFrame:
     """The landing folder as a stream of its parquet files, with all their columns.
 
     The stream remembers the path of every file it has read. ``archive`` moves files there once they are in, which
-    keeps listings and footers to what is new.
+    keeps listings to what is new.
     """
     folders.ensure(spark, folder)
-    reader = spark.readStream.schema(landed_schema(spark, entity, folder)).option("maxFileAge", ANY_AGE)
+    reader = spark.readStream.schema(landed_schema(spark, entity, folder, checkpoint, rejected)).option("maxFileAge", ANY_AGE)
     reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
     if archive is not None:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
@@ -67,6 +141,7 @@ def start_ingest(
     checkpoint: str,
     max_bytes_per_trigger: int = BATCH_BYTES,
     archive: str | None = None,
+    rejected: str | None = None,
 ) -> StreamingQuery:
     """Start appending the files not seen before to the bronze table; the query ends when they are all in.
 
@@ -80,7 +155,7 @@ def start_ingest(
     def write_batch(rows: DataFrame, number: int) -> None:
         clustered(rows, layout).write.mode("overwrite").parquet(f"{bronze}/{BATCH}={number}")
 
-    stream = read_landing_stream(spark, entity, folder, max_bytes_per_trigger, archive)
+    stream = read_landing_stream(spark, entity, folder, max_bytes_per_trigger, archive, checkpoint, rejected)
     return (
         stream.writeStream.queryName(f"ingest_{entity}")
         .option("checkpointLocation", checkpoint)
@@ -98,14 +173,15 @@ def ingest(
     checkpoint: str,
     max_bytes_per_trigger: int = BATCH_BYTES,
     archive: str | None = None,
+    rejected: str | None = None,
 ) -> None:
     """Ingest one entity and wait until it is done."""
-    start_ingest(spark, entity, folder, bronze, checkpoint, max_bytes_per_trigger, archive).awaitTermination()
+    start_ingest(spark, entity, folder, bronze, checkpoint, max_bytes_per_trigger, archive, rejected).awaitTermination()
 
 
 def batches(spark: SparkSession, table: str) -> list[int]:
     """The numbers of the batches that a table holds."""
-    return sorted(int(n.split("=")[1]) for n in folders.names(spark, table) if n.startswith(f"{BATCH}="))
+    return batchfolders.numbers(spark, table)
 
 
 def read_bronze(spark: SparkSession, entity: str, bronze: str, only: list[int] | None = None) -> DataFrame:
@@ -115,10 +191,8 @@ def read_bronze(spark: SparkSession, entity: str, bronze: str, only: list[int] |
     """
     declared = ENTITIES[entity].schema
     audit = T.StructType([T.StructField(INGESTED_AT, T.TimestampType()), T.StructField(SOURCE_FILE, T.StringType())])
-    numbers = batches(spark, bronze) if only is None else only
-    if not numbers:
+    rows = batchfolders.read(spark, bronze, only)
+    if rows is None:
         return spark.createDataFrame([], T.StructType([*declared.fields, *audit.fields]))
-    reader = spark.read.option("mergeSchema", "true").option("basePath", bronze)
-    rows = reader.parquet(*[f"{bronze}/{BATCH}={n}" for n in numbers])
     others = [c for c in rows.columns if c not in {*declared.names, *audit.names, BATCH}]
     return rows.select(*declared.names, *others, *audit.names, *([] if only is None else [BATCH]))

@@ -1,0 +1,87 @@
+"""Appends that are seen whole or not at all, stored once for each key, and compactions that end half way."""
+
+from __future__ import annotations
+
+from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
+
+import pytest
+
+from quotaline.sinks import app_tables, folders
+from tests.conftest import moment
+from tests.test_sinks import namespace  # noqa: F401  a fixture
+
+
+def feedback(frames, *reps):
+    return frames.feedback(*({"rep_id": r, "submitted_at": moment("2024-01-01"), "adjustments": [("D1", 1, 2)]} for r in reps))
+
+
+def stored(spark, namespace, name="sales_feedback"):  # noqa: F811
+    spark.catalog.refreshTable(f"{namespace}.{name}")
+    return sorted(r.rep_id for r in spark.table(f"{namespace}.{name}").collect())
+
+
+def test_a_key_is_stored_once(spark, frames, namespace):  # noqa: F811
+    assert app_tables.append_feedback(feedback(frames, "R1"), namespace, key="form 1") is True
+    assert app_tables.append_feedback(feedback(frames, "R1"), namespace, key="form 1") is False
+    assert app_tables.append_feedback(feedback(frames, "R2"), namespace, key="form 2") is True
+    assert app_tables.append_feedback(feedback(frames, "R2"), namespace) is True  # without a key, every append counts
+    assert stored(spark, namespace) == ["R1", "R2", "R2"]
+    row = spark.createDataFrame([(5, "note", "Manager")], "manager_override_pct int, manager_notes string, approved_by string")
+    assert [app_tables.append_override(row, namespace, key="k") for _ in range(3)] == [True, False, False]
+
+
+def test_many_writers_of_one_key(spark, frames, namespace):  # noqa: F811
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda k: app_tables.append_feedback(feedback(frames, f"R{k}", f"R{k}"), namespace, key="same"), range(8)))
+    assert sum(won) == 1
+    rows = stored(spark, namespace)
+    assert len(rows) == 2 and rows[0] == rows[1] == f"R{won.index(True)}"
+
+
+@pytest.mark.parametrize("step", ["write_once", "move"])
+def test_killed_half_way_nothing_is_seen_and_a_retry_stores_once(spark, frames, namespace, monkeypatch, step):  # noqa: F811
+    rows = feedback(frames, *(f"R{k}" for k in range(8))).repartition(8)  # several files
+
+    def lost(*_, **__):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(folders, step, lost)
+        with pytest.raises(RuntimeError, match="lost"):
+            app_tables.append_feedback(rows, namespace, key="form")
+    assert stored(spark, namespace) == []
+    for _ in range(2):
+        app_tables.append_feedback(rows, namespace, key="form")
+        assert stored(spark, namespace) == [f"R{k}" for k in range(8)]
+
+
+@pytest.mark.parametrize("step", ["write_once", "move", "remove"])
+def test_a_compaction_that_ends_half_way(spark, frames, namespace, monkeypatch, step):  # noqa: F811
+    for k in range(3):
+        app_tables.append_feedback(feedback(frames, f"R{k}"), namespace, key=f"form {k}")
+
+    def lost(*_, **__):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(folders, step, lost)
+        with pytest.raises(RuntimeError, match="lost"):
+            app_tables.compact(spark, namespace, "sales_feedback")
+    app_tables.append_feedback(feedback(frames, "R3"), namespace, key="form 3")  # finishes it
+    assert stored(spark, namespace) == ["R0", "R1", "R2", "R3"]
+    assert app_tables.compact(spark, namespace, "sales_feedback") >= 2
+    assert stored(spark, namespace) == ["R0", "R1", "R2", "R3"]
+    assert app_tables.append_feedback(feedback(frames, "R0"), namespace, key="form 0") is False  # keys outlive compaction
+
+
+def test_rows_survive_a_dropped_table(spark, frames, tmp_path):
+    name, root = "ns_dropped_" + tmp_path.name.replace("-", "_"), str(tmp_path / "files")
+    app_tables.ensure_namespace(spark, name)
+    for _ in range(2):
+        app_tables.ensure_app_tables(spark, name, root)
+        app_tables.append_feedback(feedback(frames, "R1"), name, key="once")
+        spark.sql(f"DROP TABLE {name}.sales_feedback")
+    spark.sql(f"DROP SCHEMA {name} CASCADE")
+    assert [r.rep_id for r in app_tables.read(spark, "sales_feedback", f"{root}/sales_feedback").collect()] == ["R1"]
+    assert not list(Path(root).glob("sales_feedback/_new-*"))
