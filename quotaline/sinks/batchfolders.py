@@ -1,7 +1,8 @@
 """Tables that grow by numbered batches, and whose small batches are merged level by level.
 
-A new batch is a folder ``ingest_batch=N``. ``compact`` merges every ``fanout`` neighbouring folders of a level into one
-of the next, so that n batches lie in about ``fanout * log(n)`` folders and a row is rewritten about ``log(n)`` times.
+A new batch is a folder ``ingest_batch=N``; a folder of ``fanout ** k`` batches or more is of level k. ``compact`` merges
+the newest folders up to a level into one of the next as soon as they hold enough batches for it, so that n batches lie
+in about ``fanout * log(n)`` folders, a row is rewritten about ``log(n)`` times, and a backlog is merged at once.
 Merged folders keep each row's batch number as a column, and a published state names them with the batches they hold; a
 batch folder that a merged one holds is not read any more.
 
@@ -74,7 +75,7 @@ def _level(batches: int, fanout: int) -> int:
 
 
 def compact(spark: SparkSession, table: str, layout: Callable[[DataFrame], DataFrame] = lambda rows: rows, fanout: int = FANOUT) -> int:
-    """Merge neighbouring folders while a level has ``fanout`` of them; returns how many merges were made.
+    """Merge the newest folders while they hold enough batches for a higher level; returns how many merges were made.
 
     ``layout`` orders the rows of a merged folder. Run by one job at a time: of two that publish, one fails. What
     compactions before this one made needless is removed first.
@@ -91,10 +92,15 @@ def compact(spark: SparkSession, table: str, layout: Callable[[DataFrame], DataF
         units = [(m["first"], m["last"], m["path"]) for m in _merged(state)] + [(n, n, None) for n in alone[:-1]]
         units.sort(key=lambda u: u[0])
         levels = [_level(last - first + 1, fanout) for first, last, _ in units]
-        run = next((k for k in range(len(units) - fanout + 1) if len(set(levels[k : k + fanout])) == 1), None)
-        if run is None:
+        some = []
+        for level in range(max(levels, default=0) + 1 + len(units) // fanout, -1, -1):
+            begin = max((k + 1 for k, own in enumerate(levels) if own > level), default=0)
+            tail = units[begin:]
+            if len(tail) > 1 and sum(last - first + 1 for first, last, _ in tail) >= fanout ** (level + 1):
+                some = tail
+                break
+        if not some:
             return done
-        some = units[run : run + fanout]
         first, last = some[0][0], some[-1][1]
         path = f"version-{uuid.uuid4().hex}/merged"
         inside = [n for n in numbers(spark, table) if first <= n <= last]

@@ -86,7 +86,7 @@ def _interleaved(ranks: list[Column], bits: int) -> Column:
 
 
 def interleaved(df: DataFrame, keys: Sequence[str], row_key: str, files: int, bits: int = 5) -> DataFrame:
-    """Rows in ``files`` partitions of like size along a Z-order curve over all ``keys``.
+    """Rows in about ``files`` partitions of like size along a Z-order curve over all ``keys``.
 
     Each key counts by its quantile among ``2**bits``, so an uneven key is spread as well as an even one, and a filter on
     any one of d keys opens about the d-th root of the files to the power d - 1. Quantiles and the sizes of cells come
@@ -100,16 +100,29 @@ def interleaved(df: DataFrame, keys: Sequence[str], row_key: str, files: int, bi
     bounds = {k: sorted({held[k][len(held[k]) * q // n] for q in range(1, n)}) if held[k] else [] for k in keys}
     place = _interleaved([_rank(k, bounds[k]) for k in keys], bits)
     cells = sorted((r["cell"], r["count"]) for r in drawn.select(place.alias("cell")).groupBy("cell").count().collect())
-    total, upto, shares = max(1, sum(c for _, c in cells)), 0, []
+    total = max(1, sum(c for _, c in cells))
+    # blocks of cells, about as many as files: a block begins with a file and gets as many as its share asks for
+    shift = max(0, bits * len(keys) - (files.bit_length() - 1))
+    blocks: dict[int, int] = {}
     for cell, count in cells:
-        shares.append((cell, upto / total, count / total))
-        upto += count
-    known = F.broadcast(spark.createDataFrame(shares, "cell int, before double, share double"))  # at most a row for each cell
+        blocks[cell >> shift] = blocks.get(cell >> shift, 0) + count
+    begin, places, held_of, used = {}, [], {}, 0
+    for block, count in blocks.items():
+        begin[block] = used
+        used += max(1, round(count / total * files))
+    for cell, count in cells:
+        block = cell >> shift
+        width = (max(1, round(blocks[block] / total * files)) - 1e-9) / blocks[block]
+        before = held_of.get(block, 0)
+        places.append((cell, begin[block] + before * width, count * width))
+        held_of[block] = before + count
+    used = max(used, 1)
+    known = F.broadcast(spark.createDataFrame(places, "cell int, before double, share double"))  # at most a row for each cell
     spot = F.pmod(F.xxhash64(row_key), F.lit(1 << 20)) / (1 << 20)
-    inside = F.coalesce(F.col("before") + F.col("share") * spot, F.col("cell") / F.lit(n ** len(keys)))  # a cell that was not drawn
-    file = F.least(F.floor(inside * files), F.lit(files - 1)).cast("int")
+    inside = F.coalesce(F.col("before") + F.col("share") * spot, F.col("cell") * F.lit(used / n ** len(keys)))  # a cell that was not drawn
+    file = F.least(F.floor(inside), F.lit(used - 1)).cast("int")
     rows = df.withColumn("cell", place).join(known, "cell", "left").withColumn("file", file)
-    return rows.repartitionById(files, "file").sortWithinPartitions("cell", *keys, row_key).select(*df.columns)
+    return rows.repartitionById(used, "file").sortWithinPartitions("cell", *keys, row_key).select(*df.columns)
 
 
 def write_interleaved(df: DataFrame, path: str, keys: Sequence[str], row_key: str, files: int) -> None:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timezone
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,6 +57,17 @@ def _merged(known: T.StructType, schema: T.StructType) -> T.StructType:
     return T.StructType([*known.fields, *[f for f in schema.fields if f.name.lower() not in names]])
 
 
+def _root_cause(error: Exception) -> str:
+    """What the reader said last, in a line."""
+    message = str(error)
+    if isinstance(error, Py4JJavaError):
+        cause = error.java_exception
+        while cause.getCause() is not None:
+            cause = cause.getCause()
+        message = cause.toString()
+    return message.splitlines()[0][:300]
+
+
 def checked(spark: SparkSession, folder: str, files: list[str], known: T.StructType, reject: Callable[[str, str], None]) -> T.StructType:
     """The known columns and those of the files that fit; ``reject`` gets each file that does not, and why.
 
@@ -67,7 +79,7 @@ def checked(spark: SparkSession, folder: str, files: list[str], known: T.StructT
         schema = spark.read.option("mergeSchema", "true").parquet(*[f"{folder}/{f}" for f in files]).schema
         reason = _clash(schema, known)
     except Exception as e:  # whatever the reader makes of a file that it cannot read
-        reason = str(e).splitlines()[0][:300]
+        reason = _root_cause(e)
     if reason is None:
         return _merged(known, schema)
     if len(files) == 1:

@@ -40,9 +40,9 @@ def live(spark, table):
 
 
 def test_a_thousand_batches_lie_in_few_folders(spark, tmp_path):
-    """Batches come in lots, as a backlog does; levels of eight: 1,000 are 1 x 512 + 7 x 64 + 4 x 8 + 8 at the most."""
+    """Batches come in lots, as a backlog does; a level has fewer than eight folders."""
     made = 0
-    for lot in (1, 6, 1, 120, 372, 500):
+    for lot in (1, 7, 1, 70, 9, 412, 100, 400):
         for n in range(made, made + lot):
             batch(tmp_path, n, rows=1)
         made += lot
@@ -75,7 +75,7 @@ def test_a_crash_at_any_step(spark, tmp_path, monkeypatch, step):
         assert held(spark, tmp_path) == want(range(30))
     assert held(spark, tmp_path) == want(range(30))
     assert batchfolders.compact(spark, str(tmp_path), fanout=4) > 0
-    assert held(spark, tmp_path) == want(range(30)) and live(spark, tmp_path) <= 10
+    assert held(spark, tmp_path) == want(range(30)) and live(spark, tmp_path) <= 12
 
 
 def test_a_reader_of_the_state_before_keeps_its_files(spark, tmp_path):
@@ -110,14 +110,14 @@ def test_refreshes_go_on_over_merged_batches(spark, frames, tmp_path):
     landing, lake = str(tmp_path / "landing"), str(tmp_path / "lake")
     land_parquet(raw(frames), landing)
     refresh(spark, landing, lake)
-    for k in range(5):
+    for k in range(3):
         add_files("invoices", frames.invoices({"invoice_id": f"N{k}", "invoice_date": f"2024-0{k + 1}-03"}).coalesce(1), landing)
         refresh(spark, landing, lake)
         plan.compact(spark, lake, fanout=2)
     for layer in ("bronze", "silver"):
-        assert live(spark, f"{lake}/{layer}_invoices") <= 4 and batchfolders.numbers(spark, f"{lake}/{layer}_invoices") == list(range(6))
-    assert read_gold(spark, lake)["gold_invoice_details"].count() == 7
-    assert bronze.read_bronze(spark, "invoices", f"{lake}/bronze_invoices").count() == 7
+        assert live(spark, f"{lake}/{layer}_invoices") <= 4 and batchfolders.numbers(spark, f"{lake}/{layer}_invoices") == list(range(4))
+    assert read_gold(spark, lake)["gold_invoice_details"].count() == 5
+    assert bronze.read_bronze(spark, "invoices", f"{lake}/bronze_invoices").count() == 5
     whole = {n: sorted(map(str, df.collect())) for n, df in read_gold(spark, lake).items()}
     plan.refresh_gold(plan.read_silver(spark, lake), str(tmp_path / "again"))
     assert whole == {n: sorted(map(str, df.collect())) for n, df in read_gold(spark, str(tmp_path / "again")).items()}

