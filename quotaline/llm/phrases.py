@@ -39,7 +39,9 @@ from quotaline.llm.shared import cut, ship
 #: Size of the bit maps, as a power of two: 8 MB.
 BITS = 26
 #: Rows of counts that a task holds before it puts equal ones together, and those that it then hands on.
-HELD, HANDED = 1_000_000, 500_000
+HELD, HANDED = 400_000, 200_000
+#: Text worked on at once: half of other operators', for the columns of its runs of words lie beside it.
+SLICE_BYTES = 1 << 20
 #: The first wave goes down to the score that so many times the wanted number of pairs reach; later ones four times as far.
 AHEAD = 2
 _U = np.uint64
@@ -139,7 +141,7 @@ def _count(order: int, most: tuple[int, int], often=None, near=None, among: set[
         for batch in batches:
             language = batch.column(0).to_numpy()
             asked = None if among is None else np.isin(language, list(among))
-            for texts in tb.slices(batch.column(1)):
+            for texts in tb.slices(batch.column(1), SLICE_BYTES):
                 low = texts.lowered()
                 cut_, follows = words(low)
                 g = language[texts.first + cut_.doc]

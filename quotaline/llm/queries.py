@@ -142,15 +142,16 @@ WITH pieces AS (
 runs AS (
   SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM worded, (VALUES (1), (2), (3)) AS t (k) WHERE len(w) >= k
 ), counted AS MATERIALIZED (
-  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f FROM runs GROUP BY ALL
-), candidates AS (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, lang || chr(10) || array_to_string(w[i : i + k - 1], ' ') AS key, count(*) AS f
+  FROM runs GROUP BY ALL
+), candidates AS MATERIALIZED (
   SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM counted WHERE k >= 2 AND f >= 10
 ), parts AS (
-  SELECT *, 1 AS j, w[1] AS head, array_to_string(w[2 : k], ' ') AS tail FROM candidates
-  UNION ALL SELECT *, 2, array_to_string(w[1 : 2], ' '), w[3] FROM candidates WHERE k = 3
+  SELECT *, 1 AS j, lang || chr(10) || w[1] AS head, lang || chr(10) || array_to_string(w[2 : k], ' ') AS tail FROM candidates
+  UNION ALL SELECT *, 2, lang || chr(10) || array_to_string(w[1 : 2], ' '), lang || chr(10) || w[3] FROM candidates WHERE k = 3
 ), cuts AS (
   SELECT p.*, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
-  FROM parts p JOIN counted x ON x.lang = p.lang AND x.phrase = p.head JOIN counted y ON y.lang = p.lang AND y.phrase = p.tail
+  FROM parts p JOIN counted x ON x.key = p.head JOIN counted y ON y.key = p.tail
 ), lowest AS (
   SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
 ), longer AS (
