@@ -118,11 +118,12 @@ class Scorer:
 
     def _clear(self) -> None:
         self.scores, self.letters = np.zeros((0, len(self.model.languages)), np.float32), np.zeros(0, np.int32)
+        self.known = np.zeros(0, np.int32)  # letters of words in a script that some language is written in
 
     def _make(self, fresh: list[bytes]) -> None:
         plain = letters(fresh)
         size = np.array([len(w) for w in plain], np.int32)
-        score = np.zeros((len(fresh), len(self.model.languages)), np.float32)
+        score, known = np.zeros((len(fresh), len(self.model.languages)), np.float32), size.copy()
         some = np.flatnonzero(size)
         if len(some):
             hashed, whose, script = grams([plain[i] for i in some.tolist()])
@@ -130,16 +131,19 @@ class Scorer:
             for k in range(score.shape[1]):
                 score[some, k] = np.bincount(whose, weights=logs[:, k], minlength=len(some))
             allowed = self.model.written[script]
-            allowed[~allowed.any(axis=1)] = True
+            foreign = ~allowed.any(axis=1)
+            known[some[foreign]] = 0
+            allowed[foreign] = True
             score[some] = np.where(allowed, score[some] / len(SIZES), -1e4)
         self.scores = np.concatenate([self.scores, score])
         self.letters = np.concatenate([self.letters, size])
+        self.known = np.concatenate([self.known, known])
 
-    def words(self, texts: tb.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Scores and letters of all words of a slice, and the number of words of each text."""
+    def words(self, texts: tb.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Scores and letters of all words of a slice, the number of words of each text, and the letters in known scripts."""
         cut = tb.words(texts)
         number = self.numbers.numbers(texts, cut, self._make, self._clear)
-        return self.scores[number], self.letters[number], cut.per_doc(len(texts))
+        return self.scores[number], self.letters[number], cut.per_doc(len(texts)), self.known[number]
 
 
 _scorers: dict[bytes, Scorer] = {}
@@ -274,16 +278,20 @@ def identify(documents: DataFrame, model: Model, with_spans: bool = True, id_col
 
 
 def accepted(documents: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, of which ``least`` of the letters are in one language."""
+    """The rows, with all their columns, of which ``least`` of the letters are in one language.
+
+    Letters of words in a script that no learned language is written in are in none.
+    """
     ship(documents.sparkSession)
     place = documents.columns.index(text_col)
 
     def share(held):
-        scores, size, n_words = (np.concatenate([h[k] for h in held]) for k in range(3))
+        scores, size, n_words, known = (np.concatenate([h[k] for h in held]) for k in range(4))
         label = viterbi(scores, n_words, model.penalty)
         n, n_langs = len(n_words), scores.shape[1]
-        letters_ = np.bincount(np.repeat(np.arange(n), n_words) * n_langs + label, weights=size, minlength=n * n_langs).reshape(n, n_langs)
-        return letters_.max(axis=1) / np.maximum(letters_.sum(axis=1), 1)
+        doc = np.repeat(np.arange(n), n_words)
+        letters_ = np.bincount(doc * n_langs + label, weights=known, minlength=n * n_langs).reshape(n, n_langs)
+        return letters_.max(axis=1) / np.maximum(np.bincount(doc, weights=size, minlength=n), 1)
 
     def run(batches):
         own = scorer(model)

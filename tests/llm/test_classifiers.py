@@ -165,3 +165,12 @@ def test_a_rare_language_is_learned_from_a_sample(spark):
     drawn = labelled.sampled_of_each(documents, "doc_id", "lang", 200)
     n = {r["lang"]: r["count"] for r in drawn.groupBy("lang").count().collect()}
     assert n["fi"] == 4 and all(60 <= n[x] <= 140 for x in ("de", "en")) and drawn.columns == documents.columns
+
+
+def test_languages_that_were_not_learned_are_rejected(spark):
+    words = {"en": "the house and the garden were full of people who sang", "de": "das haus und der garten waren voller leute die sangen"}
+    rows = [(k, words[lang], lang) for k in range(60) for lang in words]
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    odd = {1: words["en"], 2: "в доме и в саду было много людей которые пели песни", 3: "家の中と庭には歌う人がたくさんいました", 4: words["de"] + " " + words["en"], 5: words["en"] + " в доме и в саду было много людей которые пели песни и ели вкусный хлеб", 6: None, 7: "12 34"}
+    docs = spark.createDataFrame(list(odd.items()), "doc_id long, text string")
+    assert {r.doc_id for r in language.accepted(docs, model).collect()} == {1, 4}
