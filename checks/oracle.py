@@ -127,7 +127,7 @@ RELATIONS = {
                CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS created_date,
                CAST({_CLOSE} AS VARCHAR) AS expected_close_date,
                CASE o_orderkey % 9 WHEN 0 THEN 'First' WHEN 3 THEN 'Upgrade' ELSE 'Repeat' END AS deal_type,
-               CASE WHEN o_orderkey % 2 = 0 THEN 'Schedule demo' ELSE 'Send proposal' END AS next_step
+               CASE WHEN o_orderkey % 2 = 0 THEN 'First call' ELSE 'Second call' END AS next_step
         FROM orders""",
     "silver_sales_reps": """
         SELECT * REPLACE (CAST(hire_date AS DATE) AS hire_date, CAST(annual_quota AS DECIMAL(18,2)) AS annual_quota)

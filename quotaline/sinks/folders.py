@@ -79,9 +79,18 @@ def beside(path: str) -> str:
 
 
 def swap_in(spark: SparkSession, staged: str, path: str) -> None:
-    """Put a complete staged folder in a table's place. Until this moment the old one is whole."""
-    remove(spark, path)
+    """Put a complete staged folder in a table's place; the old one is moved aside, and goes when the new one is in.
+
+    Two renames: for that moment readers find no table, and a crash then leaves the old one complete beside it, hidden.
+    Tables that are read all the time are published as versions instead.
+    """
+    aside = None
+    if exists(spark, path):
+        aside = beside(path).replace("/_new-", "/_old-")
+        move(spark, path, aside)
     move(spark, staged, path)
+    if aside:
+        remove(spark, aside)
 
 
 def read(spark: SparkSession, path: str) -> str:

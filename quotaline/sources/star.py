@@ -200,7 +200,7 @@ def raw_deals(tables: StarTables) -> DataFrame:
             _text(day).alias("created_date"),
             _text(_day_after(day, 14 + key * 7 % 90)).alias("expected_close_date"),
             F.when(key % 9 == 0, DEAL_TYPES[0]).when(key % 9 == 3, DEAL_TYPES[1]).otherwise(DEAL_TYPES[2]).alias("deal_type"),
-            F.when(key % 2 == 0, "Schedule demo").otherwise("Send proposal").alias("next_step"),
+            F.when(key % 2 == 0, "First call").otherwise("Second call").alias("next_step"),
         )
     )
 
