@@ -56,6 +56,21 @@ def cut(frame: DataFrame, parts: int | None = None) -> DataFrame:
     return frame.checkpoint()
 
 
+def discard(*frames: DataFrame) -> None:
+    """Remove what ``cut`` wrote for frames that are not read any more."""
+    for frame in frames:
+        rdd = next((p.rdd() for p in _plans(frame._jdf.queryExecution().analyzed()) if p.getClass().getSimpleName() == "LogicalRDD"), None)
+        if rdd is not None and rdd.getCheckpointFile().isDefined():
+            _remove(frame.sparkSession, rdd.getCheckpointFile().get())
+
+
+def _plans(plan):
+    yield plan
+    children = plan.children()
+    for k in range(children.size()):
+        yield from _plans(children.apply(k))
+
+
 def ship(spark: SparkSession) -> None:
     """Let Spark send this package to its Python workers, unless they start where it can be imported."""
     root, context = Path(__file__).resolve().parents[2], spark.sparkContext

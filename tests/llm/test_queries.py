@@ -54,3 +54,26 @@ def test_stages_keep_the_columns(spark):
         out = stage(spark, docs.limit(0), SMALL)
         assert out.columns == docs.columns and out.count() == 0, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), SMALL).count() == 0
+
+
+def test_dedup_stage_loses_no_text(spark):
+    """Ids that repeat with other texts, equal rows, and rows without id: one row of each text stays."""
+    a, b, c, n = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcn")
+    rows = [(1, a, "en"), (5, a, "de"), (5, b, "en"), (7, c, "en"), (7, c, "en"), (None, n, "en"), (None, n, "en"), (None, a, "en"), (8, None, "en"), (9, "", None)]
+    docs = spark.createDataFrame([(*r, "s", 1, -1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, row long")
+    out = corpus_pipeline.near_dedup(spark, docs, SMALL)
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted([(1, a), (5, b), (7, c), (None, n), (8, None), (9, "")], key=repr)
+
+
+def test_stages_on_odd_documents(spark, odd_documents):
+    """Nulls, repeated rows, long texts and clashing names pass through every stage; texts without copies stay."""
+    text = "word " * 3000
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd_documents, SMALL)
+        assert out.columns == odd_documents.columns, name
+        kept = [(r.doc_id, r.text) for r in out.collect()]
+        assert len(kept) <= odd_documents.count(), name
+        if name == "near_dedup":
+            assert sorted(t for _, t in kept if t) == sorted({r.text for r in odd_documents.collect() if r.text} ) and (5, text) in kept
+    assert corpus_pipeline.STAGES[-1][1](spark, odd_documents, SMALL).agg({"length": "sum"}).first()[0] > 3000
