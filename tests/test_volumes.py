@@ -1,0 +1,57 @@
+"""Plans that shuffle no more than they have to, and the rows they must still give."""
+
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from quotaline.operators import gold, serving, silver
+from quotaline.plans import catalog, refresh
+from quotaline.sinks import snapshot
+from quotaline.sinks.manifest import NO_MONTH
+from quotaline.sources import star
+from tests.conftest import SMALL, executed_plan
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def stated(spark, root, name, rows):
+    """A published state with one file of deals."""
+    spark.createDataFrame(rows, "deal_id string, rep_name string, amount double").coalesce(1).write.parquet(f"{root}/{name}")
+    return {"tables": {"gold_active_deals": {NO_MONTH: [{"path": name}]}}}
+
+
+def test_change_feed_shuffles_rows_once_and_counts_copies(spark, tmp_path):
+    a, b, none = ("a", "x", 1.0), ("b", None, 2.0), (None, "n", None)
+    was = [a, a, a, b, none, ("gone", "g", 0.0), ("same", "s", 5.0), ("same", "s", 5.0)]
+    now = [a, b, ("b", "y", 2.0), none, none, ("new", "w", 1.0), ("new", "w", 1.0), ("same", "s", 5.0), ("same", "s", 5.0)]
+    old, new = stated(spark, tmp_path, "old", was), stated(spark, tmp_path, "new", now)
+    feed = snapshot.changes(spark, str(tmp_path), "gold_active_deals", old, new)
+    assert plan_of(feed).count("Exchange") == 1
+    got = Counter(map(tuple, feed.collect()))
+    assert got == {(*a, "delete"): 2, ("b", "y", 2.0, "insert"): 1, (*none, "insert"): 1, ("gone", "g", 0.0, "delete"): 1, ("new", "w", 1.0, "insert"): 2}
+    changed = stated(spark, tmp_path, "changed", [("a", "z", 1.0), *was[1:]])
+    feed = snapshot.changes(spark, str(tmp_path), "gold_active_deals", old, changed)
+    assert Counter(map(tuple, feed.collect())) == {(*a, "update_before"): 1, ("a", "z", 1.0, "update_after"): 1}
+
+
+@pytest.mark.parametrize("table", snapshot.GOLD_LAYOUT)
+def test_serving_copies_are_not_shuffled(spark, table):
+    columns = dict.fromkeys([*snapshot.SERVING_LAYOUT[table], snapshot.GOLD_KEY[table], snapshot.GOLD_LAYOUT[table][0]])
+    rows = spark.createDataFrame([], ", ".join(f"{c} {'date' if 'date' in c else 'string'}" for c in columns))
+    assert "Exchange" not in plan_of(snapshot.laid_out(rows, table))
+
+
+def test_summaries_of_a_first_refresh_are_made_of_the_states(spark, frames, tmp_path, monkeypatch):
+    def again(_):
+        raise AssertionError("the facts are read again")
+
+    for table in refresh.STATES:
+        monkeypatch.setitem(refresh.GOLD, table, again)
+    for name, rows in {"invoices": frames.invoices({}, {"invoice_id": "I2", "rep_id": None}), "sales_reps": frames.reps({"rep_id": "R1", "rep_name": "Ann"})}.items():
+        rows.write.parquet(f"{tmp_path}/landing/{name}")
+    tables = refresh.refresh(spark, f"{tmp_path}/landing", f"{tmp_path}/lake")
+    assert {(r.rep_id, r.rep_name, r.invoice_count) for r in tables["gold_rep_monthly_summary"].collect()} == {("R1", "Ann", 1), (None, None, 1)}
+    assert [r.invoice_count for r in tables["gold_category_summary"].collect()] == [2]
