@@ -55,3 +55,21 @@ def test_summaries_of_a_first_refresh_are_made_of_the_states(spark, frames, tmp_
     tables = refresh.refresh(spark, f"{tmp_path}/landing", f"{tmp_path}/lake")
     assert {(r.rep_id, r.rep_name, r.invoice_count) for r in tables["gold_rep_monthly_summary"].collect()} == {("R1", "Ann", 1), (None, None, 1)}
     assert [r.invoice_count for r in tables["gold_category_summary"].collect()] == [2]
+
+
+def test_regions_leave_dimensions_their_size_and_their_rows(spark):
+    size = catalog.Lake(spark, SMALL).raw["sales_reps"]._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert size < 1 << 20
+    tables = star.StarTables(spark, "")
+    tables["nation"] = spark.createDataFrame([(1, 1), (1, 1), (2, 2), (None, 1), (3, 9)], "n_nationkey int, n_regionkey int")
+    tables["region"] = spark.createDataFrame([(1, "EAST"), (2, None), (2, "WEST")], "r_regionkey int, r_name string")
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", None)], "k string, n int")
+    got = Counter((r.k, r.r_name) for r in star._with_region(rows, tables, "n").collect())
+    assert got == {("a", "EAST"): 2, ("b", None): 1, ("b", "WEST"): 1}
+
+
+@pytest.mark.parametrize("empty", ["nation", "region"])
+def test_no_places_no_rows(spark, empty):
+    tables = star.StarTables(spark, SMALL)
+    tables[empty] = tables[empty].limit(0)
+    assert star.raw_sales_reps(tables).count() == 0
