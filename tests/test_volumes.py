@@ -73,3 +73,19 @@ def test_no_places_no_rows(spark, empty):
     tables = star.StarTables(spark, SMALL)
     tables[empty] = tables[empty].limit(0)
     assert star.raw_sales_reps(tables).count() == 0
+
+
+def test_newest_invoices_are_told_before_lookups(spark, frames):
+    lake = catalog.Lake(spark, SMALL)
+    plan = executed_plan(serving.invoice_details(lake.newest()))
+    assert plan.count("TakeOrderedAndProject") == 2 and plan.rindex("TakeOrderedAndProject") > plan.index("LeftOuter")
+    facts = silver.silver_invoices(frames.invoices(*[
+        {"invoice_id": f"I{i}", "rep_id": f"R{i % 3}", "invoice_date": None if i == 7 else f"2024-01-{1 + i % 5:02d}"} for i in range(30)
+    ]))
+    reps = silver.silver_sales_reps(frames.reps(*[{"rep_id": f"R{i}", "rep_name": n, "region": r} for i, n, r in ((0, "A", "EAST"), (1, "B", "WEST"), (1, "C", "EAST"))]))
+    customers = silver.silver_customers(frames.customers({"customer_id": "C1", "customer_name": "Acme"}))
+    details = gold.gold_invoice_details(facts, reps, customers)
+    for rep_id, region in ((None, None), ("R1", None), (None, "EAST"), ("R1", "WEST"), (None, "All"), (None, "NONE")):
+        few = gold.gold_invoice_details(serving.newest_invoices(facts, reps, rep_id, region, 4), reps, customers)
+        got, all_rows = (serving.invoice_details(rows, rep_id, region, n).collect() for rows, n in ((few, 4), (details, None)))
+        assert [r.invoice_id for r in got] == [r.invoice_id for r in all_rows[:4]] and set(got) <= set(all_rows), (rep_id, region)
