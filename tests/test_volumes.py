@@ -89,3 +89,16 @@ def test_newest_invoices_are_told_before_lookups(spark, frames):
         few = gold.gold_invoice_details(serving.newest_invoices(facts, reps, rep_id, region, 4), reps, customers)
         got, all_rows = (serving.invoice_details(rows, rep_id, region, n).collect() for rows, n in ((few, 4), (details, None)))
         assert [r.invoice_id for r in got] == [r.invoice_id for r in all_rows[:4]] and set(got) <= set(all_rows), (rep_id, region)
+
+
+def test_landed_parts_are_not_gathered_in_one_task(spark, monkeypatch):
+    seen, land = [], catalog.add_files
+
+    def add_files(name, rows, landing):
+        seen.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        land(name, rows, landing)
+
+    monkeypatch.setattr(catalog, "add_files", add_files)
+    lake = catalog.Lake(spark, SMALL)
+    assert catalog._compacted(lake, "orders").count() == lake.raw["orders"].count()
+    assert len(seen) == 5 and not any("Repartition 1" in plan for plan in seen)
