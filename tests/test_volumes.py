@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +10,8 @@ from quotaline.operators import gold, serving, silver
 from quotaline.plans import catalog, refresh
 from quotaline.sinks import snapshot
 from quotaline.sinks.manifest import NO_MONTH
-from quotaline.sources import star
+from quotaline.sources import landing, star
+from quotaline.streaming.bronze import read_bronze
 from tests.conftest import SMALL, executed_plan
 
 
@@ -102,3 +104,13 @@ def test_landed_parts_are_not_gathered_in_one_task(spark, monkeypatch):
     lake = catalog.Lake(spark, SMALL)
     assert catalog._compacted(lake, "orders").count() == lake.raw["orders"].count()
     assert len(seen) == 5 and not any("Repartition 1" in plan for plan in seen)
+
+
+def test_tables_are_compressed(spark, frames, tmp_path):
+    for name, rows in {"invoices": frames.invoices({}, {"invoice_id": "I2"}), "sales_reps": frames.reps({"rep_id": "R1", "rep_name": "Ann"})}.items():
+        landing.add_files(name, rows, f"{tmp_path}/landing")
+    refresh.refresh(spark, f"{tmp_path}/landing", f"{tmp_path}/lake", f"{tmp_path}/serving")
+    refresh.refresh_silver({n: read_bronze(spark, n, f"{tmp_path}/lake/bronze_{n}") for n in refresh.SILVER}, f"{tmp_path}/whole")
+    for folder in ("landing/invoices", "lake/bronze_invoices", "lake/silver_invoices", "lake/version-*/tables/gold_invoice_details", "serving/version-*/gold_invoice_details", "whole/silver_invoices"):
+        files = [f for f in tmp_path.glob(f"{folder}/**/*.parquet") if pq.ParquetFile(f).metadata.num_rows]
+        assert files and all(pq.ParquetFile(f).metadata.row_group(0).column(0).compression == "ZSTD" for f in files), folder
