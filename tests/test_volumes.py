@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quotaline.operators import gold, serving, silver
 from quotaline.plans import catalog, refresh
-from quotaline.sinks import snapshot
+from quotaline.sinks import manifest, snapshot
 from quotaline.sinks.manifest import NO_MONTH
 from quotaline.sources import landing, star
 from quotaline.streaming.bronze import read_bronze
@@ -114,3 +114,16 @@ def test_tables_are_compressed(spark, frames, tmp_path):
     for folder in ("landing/invoices", "lake/bronze_invoices", "lake/silver_invoices", "lake/version-*/tables/gold_invoice_details", "serving/version-*/gold_invoice_details", "whole/silver_invoices"):
         files = [f for f in tmp_path.glob(f"{folder}/**/*.parquet") if pq.ParquetFile(f).metadata.num_rows]
         assert files and all(pq.ParquetFile(f).metadata.row_group(0).column(0).compression == "ZSTD" for f in files), folder
+
+
+def test_bounds_of_files_are_found_without_sorting(spark, frames, tmp_path):
+    for m, days in (("2024-01", ["2024-01-05", "2024-01-02"]), ("none", [None])):
+        rows = silver.silver_invoices(frames.invoices(*[{"invoice_date": d, "rep_id": f"R{i}"} for i, d in enumerate(days)]))
+        rows.coalesce(1).write.parquet(f"{tmp_path}/t/month_part={m}")
+    assert "Sort" not in plan_of(manifest.file_bounds(spark.read.parquet(f"{tmp_path}/t"), "invoice_date", "rep_id"))
+    found = manifest.described(spark, str(tmp_path), "t", "invoice_date")
+    shown = {m: [{k: v for k, v in e.items() if k != "path"} for e in some] for m, some in found.items()}
+    assert shown == {
+        "2024-01": [{"rows": 2, "low": "2024-01-02", "high": "2024-01-05", "undated": 0, "low_rep": "R0", "high_rep": "R1"}],
+        "none": [{"rows": 1, "low": None, "high": None, "undated": 1, "low_rep": "R0", "high_rep": "R0"}],
+    }
