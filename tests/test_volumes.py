@@ -116,6 +116,41 @@ def test_tables_are_compressed(spark, frames, tmp_path):
         assert files and all(pq.ParquetFile(f).metadata.row_group(0).column(0).compression == "ZSTD" for f in files), folder
 
 
+def test_customers_are_looked_up_before_reps(spark):
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("gold_invoice_details", "gold_active_deals"):
+            plan = catalog.Lake(spark, SMALL).gold[name]._jdf.queryExecution().optimizedPlan().toString()
+            joins = [line for line in plan.splitlines() if "Join LeftOuter" in line]
+            assert ["rep_id" in line for line in joins] == [True, False], plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_invoices_are_rolled_up_in_one_pass(spark, frames, tmp_path):
+    rows = [{"invoice_id": f"I{i}", "rep_id": [None, "R1", "R2"][i % 3], "invoice_date": [None, "2024-01-05", "2024-02-05"][i % 4 % 3], "product_category": [None, "A", "B", "C"][i // 5 % 4]} for i in range(60)]
+    invoices = silver.silver_invoices(frames.invoices(*rows))
+    stacked = gold.invoice_rollups(invoices)
+    for name in ("invoices", "categories"):
+        wanted, got = gold.ROLLUPS[name][2](invoices), gold.rollup_of(stacked, name)
+        assert got.dtypes == wanted.dtypes and Counter(got.collect()) == Counter(wanted.collect())
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    silvers = {n: refresh.SILVER[n](getattr(frames, n.removeprefix("sales_"))(*some)) for n, some in {"sales_reps": [{"rep_id": "R1", "rep_name": "Ann"}], "customers": [{"customer_id": "C1", "customer_name": "Acme"}], "orders": [{}], "deals": [{}]}.items()}
+    refresh.refresh_gold(silvers | {"invoices": invoices.mapInArrow(counted, invoices.schema)}, f"{tmp_path}/gold")
+    assert reads.value == 2 * 60  # for the details, and for both rollups
+    tables = snapshot.read_gold(spark, f"{tmp_path}/gold")
+    assert Counter(tables["gold_category_summary"].collect()) == Counter(gold.gold_category_summary(invoices).collect())
+    assert tables["gold_rep_monthly_summary"].count() == gold.gold_rep_monthly_summary(invoices, silvers["orders"], silvers["deals"], silvers["sales_reps"]).count()
+    assert not list(tmp_path.glob("gold/version-*/rollups"))
+
+
 def test_bounds_of_files_are_found_without_sorting(spark, frames, tmp_path):
     for m, days in (("2024-01", ["2024-01-05", "2024-01-02"]), ("none", [None])):
         rows = silver.silver_invoices(frames.invoices(*[{"invoice_date": d, "rep_id": f"R{i}"} for i, d in enumerate(days)]))
