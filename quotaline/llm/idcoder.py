@@ -69,7 +69,8 @@ class Model:
         if total:
             np.cumsum(self.seen, out=upto[1:])
             upto *= (1 << self.bits) - self.vocab
-            upto //= total
+            # Doubles divide exactly enough: products stay below 2**53, and quotients below a whole number are 1 / total below it.
+            upto = (upto / total).astype(np.int64)
             upto += np.arange(self.vocab + 1)
         else:
             upto = np.arange(self.vocab + 1) * ((1 << self.bits) // self.vocab)
@@ -79,8 +80,9 @@ class Model:
     def who(self, at: np.ndarray) -> np.ndarray:
         """The id whose share of order 0 holds a place."""
         if self.of is None:
-            self.of = np.repeat(np.arange(self.vocab, dtype=np.int32), self.size)
-            self.of = np.append(self.of, np.full((1 << self.bits) + 1 - len(self.of), self.vocab - 1, np.int32))
+            size = self.size.copy()
+            size[-1] += (1 << self.bits) + 1 - int(size.sum())  # the last id takes the places beyond all shares
+            self.of = np.repeat(np.arange(self.vocab, dtype=np.int32), size)
         return self.of[at]
 
     def weights(self) -> None:
@@ -127,7 +129,7 @@ def encoded(ids: np.ndarray, vocab: int) -> tuple[int, np.ndarray, np.ndarray]:
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     model = Model(vocab, lanes)
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 63, np.uint64)
-    digits, used = np.zeros((lanes, steps + 2), np.int64), np.zeros(lanes, np.int64)
+    digits, used = np.zeros((steps + 2, lanes), np.int64), np.zeros(lanes, np.int64)
     bits, whole = model.bits, 1 << WEIGHT
     for row in grid:
         model.predict()
@@ -145,16 +147,16 @@ def encoded(ids: np.ndarray, vocab: int) -> tuple[int, np.ndarray, np.ndarray]:
         width = unit * size.astype(np.uint64)
         out = np.flatnonzero(width < _BOTTOM)
         now = low[out]
-        digits[out, used[out]] = (now >> _U(31)).view(np.int64)
+        digits[used[out], out] = (now >> _U(31)).view(np.int64)
         used[out] += 1
         low[out] = (now & _LOW) << _U(32)
         width[out] <<= _U(32)
         model.learn(row, hit2, hit1)
-    digits[np.arange(lanes), used] = ((low + _LOW) >> _U(31)).view(np.int64)
+    digits[used, np.arange(lanes)] = ((low + _LOW) >> _U(31)).view(np.int64)
     used += 1
-    for k in range(digits.shape[1] - 1, 0, -1):
-        digits[:, k - 1] += digits[:, k] >> 32
-    digits &= 0xFFFFFFFF
+    for k in range(len(digits) - 1, 0, -1):
+        digits[k - 1] += digits[k] >> 32
+    digits = np.ascontiguousarray(digits.astype(np.uint32).T)  # without the carries, which have been added
     while (bare := (used > 0) & (digits[np.arange(lanes), used - 1] == 0)).any():  # the reader takes them as given
         used[bare] -= 1
     return lanes, used, digits[np.arange(digits.shape[1]) < used[:, None]]
@@ -163,10 +165,10 @@ def encoded(ids: np.ndarray, vocab: int) -> tuple[int, np.ndarray, np.ndarray]:
 def decoded(n: int, lanes: int, used: np.ndarray, flat: np.ndarray, vocab: int) -> np.ndarray:
     """The ids of a block."""
     steps = -(-n // lanes)
-    digits = np.zeros((lanes, max(steps, int(used.max(initial=0))) + 4), np.uint64)
+    digits = np.zeros((lanes, max(steps, int(used.max(initial=0))) + 4), np.uint32)
     digits[np.arange(digits.shape[1]) < used[:, None]] = flat
-    ahead = ((digits[:, :-1] & _U(1)) << _U(31)) | (digits[:, 1:] >> _U(1))
-    code = ((digits[:, 0] >> _U(1)) << _U(32)) | ahead[:, 0]
+    ahead = (digits[:, :-1] << np.uint32(31)) | (digits[:, 1:] >> np.uint32(1))
+    code = ((digits[:, 0] >> np.uint32(1)).astype(np.uint64) << _U(32)) | ahead[:, 0]
     at, width = np.ones(lanes, np.int64), np.full(lanes, 1 << 63, np.uint64)
     model = Model(vocab, lanes)
     bits, whole, top = model.bits, 1 << WEIGHT, _U((1 << model.bits + WEIGHT) - 1)
@@ -218,7 +220,7 @@ def texts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         raise Damaged("a block's bytes do not fit their checksum")
     body = np.frombuffer(data, "<u4", offset=HEADER.size)
     lengths, used = body[:n_texts].astype(np.int64), body[n_texts : n_texts + lanes].astype(np.int64)
-    ids = decoded(n, lanes, used, body[n_texts + lanes :].astype(np.uint64), vocab).astype("<u4") if n else np.zeros(0, "<u4")
+    ids = decoded(n, lanes, used, body[n_texts + lanes :], vocab).astype("<u4") if n else np.zeros(0, "<u4")
     if zlib.crc32(ids.tobytes()) != crc_ids:
         raise Damaged("a block's ids do not fit their checksum")
     return ids, lengths

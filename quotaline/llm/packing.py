@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,10 @@ from quotaline.llm.shared import ship
 
 CAPACITY = 4096
 GROUP_TOKENS = 4 << 20
+#: Distinct parts of words whose ids a worker keeps; beyond that many it starts anew before the next slice.
+KEPT_PARTS = 1 << 18
+#: Stands for the end of a run among ids.
+_END = np.uint32(0xFFFFFFFF)
 
 
 class WordTokens:
@@ -43,7 +49,8 @@ class WordTokens:
     """
 
     _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-    _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+    #: The file's pattern, in lines of runs.
+    _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\n]+|\n")
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
@@ -52,24 +59,34 @@ class WordTokens:
         self.model = self.tokenizer.model
         self.letters = dict(enumerate(byte_letters()))
         self.numbers, self.ids = tb.Kept(), tb.Lists(np.uint32)
+        self.parts: dict[str, bytes] = {}
 
     def _make(self, fresh: list[bytes]) -> None:
-        flat: list[int] = []
-        length: list[int] = []
-        known: dict[str, list[int]] = {}
-        for run in fresh:
-            text, n = run.decode("utf-8"), len(flat)
-            if self._PLAIN.fullmatch(text) and "<|" not in text:
-                for part in self._PARTS.findall(text.lower()):
-                    ids = known.get(part)
-                    if ids is None:
-                        letters = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
-                        ids = known[part] = [t.id for t in self.model.tokenize(letters)]
-                    flat += ids
-            else:
-                flat += self.tokenizer.encode(text, add_special_tokens=False).ids
-            length.append(len(flat) - n)
-        self.ids.extend(np.array(flat, np.uint32), np.array(length, np.int64))
+        # Runs hold no line feed, so all of them are cut at once, as lines.
+        runs = b"\n".join(fresh).decode("utf-8").split("\n")
+        fits = self._PLAIN.fullmatch
+        plain = np.array([fits(run) is not None and "<|" not in run for run in runs])
+        parts = self._PARTS.findall("\n".join([*compress(runs, plain), ""]).lower())
+        if len(self.parts) > KEPT_PARTS:
+            self.parts.clear()
+        known, cut = self.parts, self.model.tokenize
+        known["\n"] = _END.tobytes()
+        for part in parts:
+            if part not in known:
+                letters = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+                known[part] = array("I", [t.id for t in cut(letters)]).tobytes()
+        marked = np.frombuffer(b"".join(map(known.__getitem__, parts)), np.uint32)
+        ends = np.flatnonzero(marked == _END)
+        length = np.zeros(len(runs), np.int64)
+        length[plain] = np.diff(ends, prepend=-1) - 1
+        flat = marked[marked != _END]
+        if not plain.all():
+            odd = [self.tokenizer.encode(run, add_special_tokens=False).ids for run in compress(runs, ~plain)]
+            at = np.cumsum(length)[~plain]  # where the ids of the plain runs before each end
+            size = np.array([len(ids) for ids in odd])
+            flat = np.insert(flat, np.repeat(at, size), np.array([*chain.from_iterable(odd)], np.uint32))
+            length[~plain] = size
+        self.ids.extend(flat, length)
 
     def encode(self, texts: tb.Texts) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a slice, and the bounds of each text's."""

@@ -29,6 +29,32 @@ def test_same_ids_as_the_library(texts):
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [ids_of(t) for t in texts[part.first : part.first + len(part)]]
 
 
+def test_parts_of_words_are_cut_once(monkeypatch):
+    """Words that differ in case and punctuation share their parts, over slices and after words are dropped."""
+    seen = []
+
+    class Counted:
+        def tokenize(self, letters):
+            seen.append(letters)
+            return LIBRARY.model.tokenize(letters)
+
+    def check(*texts):
+        for text in texts:
+            for part in tb.slices(pa.array([text])):
+                assert e.encode(part)[0].tolist() == ids_of(text)
+
+    e = packing.WordTokens(WORD_BPE)
+    e.model = Counted()
+    check("Étude one", "étude, 日本 ONE! don't", "one.")
+    assert sorted(seen) == sorted({*seen}) and len(seen) == 7
+    e.numbers.clear(), e.ids.clear()
+    check("one étude")
+    assert len(seen) == 7
+    monkeypatch.setattr(packing, "KEPT_PARTS", 3)
+    check("two! one", "three four five", "one five two")
+    assert len(e.parts) <= 5
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 300), max_size=60))
 def test_pack_loses_and_pads_nothing(lengths):
