@@ -6,11 +6,14 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from quotaline import session
 from quotaline.operators import gold, serving, silver
 from quotaline.plans import catalog, refresh
 from quotaline.sinks import manifest, snapshot
+from quotaline.sinks.clustered import ranged
 from quotaline.sinks.manifest import NO_MONTH
 from quotaline.sources import landing, star
+from quotaline.sources.schemas import SERVING_LAYOUT
 from quotaline.streaming.bronze import read_bronze
 from tests.conftest import SMALL, executed_plan
 
@@ -93,6 +96,54 @@ def test_newest_invoices_are_told_before_lookups(spark, frames):
         assert [r.invoice_id for r in got] == [r.invoice_id for r in all_rows[:4]] and set(got) <= set(all_rows), (rep_id, region)
 
 
+@pytest.mark.parametrize("small", ["reps and customers", "reps", "none"])
+def test_sorted_details_are_shuffled_before_broadcast_lookups(spark, frames, tmp_path, small):
+    """Rows go to their places in the report and in the serving copy before names are added, if these are broadcast."""
+    invoices = silver.silver_invoices(frames.invoices(*[
+        {"invoice_id": f"I{i % 40}", "rep_id": [None, "R0", "R1", "R9"][i % 4], "customer_id": [None, "C1", "C2"][i % 3], "invoice_date": None if i == 7 else f"2024-01-{1 + i % 5:02d}"} for i in range(60)
+    ]))
+    reps = silver.silver_sales_reps(frames.reps(*[{"rep_id": f"R{i}", "rep_name": n, "region": r} for i, n, r in ((0, "A", "EAST"), (1, "B", None), (1, "C", "EAST"))]))
+    customers = silver.silver_customers(frames.customers({"customer_id": "C1", "customer_name": "Acme"}, {"customer_id": "C1", "customer_name": "Acme 2"}))
+    reps.write.parquet(f"{tmp_path}/reps")
+    reps = spark.read.parquet(f"{tmp_path}/reps")
+    if small == "reps and customers":  # the planner takes rows without a file for many
+        customers.write.parquet(f"{tmp_path}/customers")
+        customers = spark.read.parquet(f"{tmp_path}/customers")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1" if small == "none" else held)
+    try:
+        plain = gold.gold_invoice_details(invoices, reps, customers)
+        copied = snapshot.serving_order("gold_invoice_details")
+        for by_region, order, sort in (
+            (False, serving.newest_first(), lambda rows: serving.invoice_details(rows, rows=None)),
+            (True, copied, lambda rows: ranged(rows, SERVING_LAYOUT["gold_invoice_details"], "invoice_id")),
+        ):
+            details = sort(gold.gold_invoice_details(invoices, reps, customers, order))
+            plan = plan_of(details)
+            assert plan.count("Exchange rangepartitioning") == 1, plan
+            late = {"reps and customers": {"customer_id", "rep_id"}, "reps": {"rep_id"}, "none": set()}[small] - ({"rep_id"} if by_region else set())
+            above = plan[: plan.index("Exchange rangepartitioning")]
+            assert {k for k in ("customer_id", "rep_id") if f"BroadcastHashJoin [{k}#" in above} == late, plan
+            got = details.collect()
+            assert Counter(got) == Counter(plain.collect())
+            if not by_region:
+                assert [(r.invoice_date, r.invoice_id) for r in got] == [(r.invoice_date, r.invoice_id) for r in sort(plain).collect()]
+            else:
+                keys = [(r.rep_region or "", r.rep_id or "", str(r.invoice_date or ""), r.invoice_id) for r in got]
+                assert keys == sorted(keys)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_ranges_are_as_many_as_tasks_can_sort(spark, tmp_path, monkeypatch):
+    spark.range(20_000).write.parquet(f"{tmp_path}/t")
+    rows = spark.read.parquet(f"{tmp_path}/t")
+    assert "rangepartitioning(id#" in plan_of(session.in_ranges(rows, ["id"])) and "8), REPARTITION_BY_COL" in plan_of(session.in_ranges(rows, ["id"]))
+    monkeypatch.setattr(session, "SORTED_BYTES", 1000)
+    found = session.in_ranges(rows, ["id"])
+    assert found.rdd.getNumPartitions() > 20 and "Exchange" in plan_of(found) and plan_of(found.orderBy("id")).count("Exchange") == 1
+
+
 def test_landed_parts_are_not_gathered_in_one_task(spark, monkeypatch):
     seen, land = [], catalog.add_files
 
