@@ -17,9 +17,7 @@ Columns other than the id and the text are ignored. An empty table gives no piec
 
 from __future__ import annotations
 
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from itertools import chain, compress
 
@@ -37,8 +35,46 @@ CAPACITY = 4096
 GROUP_TOKENS = 4 << 20
 #: Distinct parts of words whose ids a worker keeps; beyond that many it starts anew before the next slice.
 KEPT_PARTS = 1 << 18
-#: Stands for the end of a run among ids.
-_END = np.uint32(0xFFFFFFFF)
+_LINE, _QUOTE = 10, 39
+#: Bytes of plain runs: printable ASCII, and after ``_LATIN`` the second bytes of Latin-1's letters.
+_LATIN = 0xC3
+_ONE, _SECOND = np.zeros(256, bool), np.zeros(256, bool)
+_ONE[[_LINE, *range(33, 127)]] = True
+_SECOND[0x80:0xC0] = True
+_SECOND[[0x97, 0xB7]] = False
+#: What lower case adds to a byte, and to a second byte.
+_LOWER, _LOWER_SECOND = np.zeros(256, np.uint8), np.zeros(256, np.uint8)
+_LOWER[65:91] = 32
+_LOWER_SECOND[0x80:0x9F] = 32
+#: Bytes of plain runs in lower case: lines' ends, letters, digits, others.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[_LINE] = 0
+_KIND[[*range(97, 123), *range(128, 256)]] = 1
+_KIND[48:58] = 2
+
+
+def _among(letters: str) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[[*letters.encode()]] = True
+    return out
+
+
+_SHORT = _among("stmd")
+
+
+def parts_of(lower: np.ndarray) -> np.ndarray:
+    """Where parts begin in lines of plain runs: 's 't 're 've 'm 'll 'd, runs of letters, digits, runs of others; and lines' ends."""
+    kind = _KIND[lower]
+    new = np.ones(len(lower), bool)
+    new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    at = np.flatnonzero((lower == _QUOTE) & new)
+    first, second = lower[at + 1], lower[np.minimum(at + 2, len(lower) - 1)]
+    short = _SHORT[first]
+    long = ((first == ord("r")) | (first == ord("v"))) & (second == ord("e")) | (first == ord("l")) & (second == ord("l"))
+    new[at[short | long] + 1] = False
+    new[at[short] + 2] = True
+    new[at[long] + 3] = True
+    return np.flatnonzero(new)
 
 
 class WordTokens:
@@ -48,50 +84,64 @@ class WordTokens:
     go through the library whole.
     """
 
-    _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-    #: The file's pattern, in lines of runs.
-    _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\n]+|\n")
-
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
-        self.letters = dict(enumerate(byte_letters()))
+        self.letters = np.array([ord(c) for c in byte_letters()], "<u2")
         self.numbers, self.ids = tb.Kept(), tb.Lists(np.uint32)
-        self.parts: dict[str, bytes] = {}
+        self.parts, self.part_ids = tb.Kept(), tb.Lists(np.uint32)
+
+    def _part_numbers(self, lower: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if len(self.parts) > KEPT_PARTS:
+            self._drop_parts()
+        letters = self.letters[lower].tobytes().decode("utf-16-le")
+
+        def make(new: np.ndarray) -> None:
+            cut = [*map(self.model.tokenize, [letters[a:b] for a, b in zip(start[new].tolist(), end[new].tolist())])]
+            self.part_ids.extend(np.array([t.id for tokens in cut for t in tokens], np.uint32), np.array([*map(len, cut)], np.int64))
+
+        return self.parts.placed(tb.hashes(tb.Texts(0, lower, np.array([0, len(lower)])), tb.Pieces(start, end, np.zeros(len(start), np.int64))), make)
 
     def _make(self, fresh: list[bytes]) -> None:
         # Runs hold no line feed, so all of them are cut at once, as lines.
-        runs = b"\n".join(fresh).decode("utf-8").split("\n")
-        fits = self._PLAIN.fullmatch
-        plain = np.array([fits(run) is not None and "<|" not in run for run in runs])
-        parts = self._PARTS.findall("\n".join([*compress(runs, plain), ""]).lower())
-        if len(self.parts) > KEPT_PARTS:
-            self.parts.clear()
-        known, cut = self.parts, self.model.tokenize
-        known["\n"] = _END.tobytes()
-        for part in parts:
-            if part not in known:
-                letters = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
-                known[part] = array("I", [t.id for t in cut(letters)]).tobytes()
-        marked = np.frombuffer(b"".join(map(known.__getitem__, parts)), np.uint32)
-        ends = np.flatnonzero(marked == _END)
-        length = np.zeros(len(runs), np.int64)
-        length[plain] = np.diff(ends, prepend=-1) - 1
-        flat = marked[marked != _END]
+        runs = np.frombuffer(b"\n".join([*fresh, b""]), np.uint8)
+        after = np.append(False, runs[:-1] == _LATIN)
+        fit = np.where(after, _SECOND[runs], _ONE[runs] | (runs == _LATIN))
+        fit[:-1] &= (runs[:-1] != ord("<")) | (runs[1:] != ord("|"))
+        begin = np.append(0, np.flatnonzero(runs[:-1] == _LINE) + 1)
+        plain = np.logical_and.reduceat(fit, begin)
+        if not plain.all():
+            keep = np.repeat(plain, np.diff(begin, append=len(runs)))
+            runs, after = runs[keep], after[keep]
+        lower = runs + np.where(after, _LOWER_SECOND[runs], _LOWER[runs])
+        start = parts_of(lower)
+        line = lower[start] == _LINE
+        flat, size = self.part_ids.take(self._part_numbers(lower, start[~line], np.append(start[1:], len(lower))[~line]))
+        length = np.zeros(len(fresh), np.int64)
+        length[plain] = np.bincount(np.cumsum(line)[~line], weights=size, minlength=int(plain.sum()))
         if not plain.all():
-            odd = [self.tokenizer.encode(run, add_special_tokens=False).ids for run in compress(runs, ~plain)]
+            odd = [self.tokenizer.encode(run.decode("utf-8"), add_special_tokens=False).ids for run in compress(fresh, ~plain)]
             at = np.cumsum(length)[~plain]  # where the ids of the plain runs before each end
             size = np.array([len(ids) for ids in odd])
             flat = np.insert(flat, np.repeat(at, size), np.array([*chain.from_iterable(odd)], np.uint32))
             length[~plain] = size
         self.ids.extend(flat, length)
 
+    def _drop_parts(self) -> None:
+        self.parts.clear()
+        self.part_ids.clear()
+
+    def _forget(self) -> None:
+        """Drop all that is kept: another operator has started."""
+        self.ids.clear()
+        self._drop_parts()
+
     def encode(self, texts: tb.Texts) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a slice, and the bounds of each text's."""
         cut = tb.words(texts)
-        ids, length = self.ids.take(self.numbers.numbers(texts, cut, self._make, self.ids.clear))
+        ids, length = self.ids.take(self.numbers.numbers(texts, cut, self._make, self.ids.clear, self._forget))
         return ids, tb.bounds(length, cut.doc, len(texts))
 
 

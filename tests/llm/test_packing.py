@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 
@@ -55,6 +56,26 @@ def test_parts_of_words_are_cut_once(monkeypatch):
     assert len(e.parts) <= 5
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("'stmdrevla09.é!|", min_size=1, max_size=12), min_size=1, max_size=5))
+def test_parts_are_those_of_the_files_pattern(runs):
+    pattern = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\n]+|\n")
+    lines = "".join(run + "\n" for run in runs)
+    data = lines.encode()
+    start = packing.parts_of(np.frombuffer(data, np.uint8)).tolist()
+    assert [data[a:b].decode() for a, b in zip(start, [*start[1:], None])] == pattern.findall(lines)
+
+
+def test_nothing_is_kept_once_another_operator_starts():
+    part = next(tb.slices(pa.array(["one two, three"])))
+    e, other = packing.WordTokens(WORD_BPE), tb.Kept()
+    e.encode(part)
+    assert len(e.parts) == 4
+    other.numbers(part, tb.words(part), lambda fresh: None, lambda: None)
+    assert not len(e.parts) and not e.ids.used and not e.part_ids.used
+    assert e.encode(part)[0].tolist() == ids_of("one two, three")
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 300), max_size=60))
 def test_pack_loses_and_pads_nothing(lengths):
