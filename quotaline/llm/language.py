@@ -36,8 +36,8 @@ PARTS, PART = 4, 2
 SAMPLE = 20_000
 BUCKETS = 1 << 15
 SIZES = (1, 2, 3, 4)
-#: Words whose labels are found together.
-TOGETHER = 1_000_000
+#: Words whose labels are found together, and new words that are scored together.
+TOGETHER, SCORED = 500_000, 10_000
 #: First and last code points of scripts, from the block table of Unicode; other letters are of script 0.
 SCRIPTS = (
     ("Latin", ((0x41, 0x24F), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xFF21, 0xFF5A))),
@@ -121,9 +121,17 @@ class Scorer:
         self.known = np.zeros(0, np.int32)  # letters of words in a script that some language is written in
 
     def _make(self, fresh: list[bytes]) -> None:
-        plain = letters(fresh)
+        found = [self._scored(fresh[k : k + SCORED]) for k in range(0, len(fresh), SCORED)]
+        score, size, known = (np.concatenate(x) for x in zip(*found))
+        self.scores = np.concatenate([self.scores, score])
+        self.letters = np.concatenate([self.letters, size])
+        self.known = np.concatenate([self.known, known])
+
+    def _scored(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores, letters, and letters in known scripts of some words."""
+        plain = letters(words)
         size = np.array([len(w) for w in plain], np.int32)
-        score, known = np.zeros((len(fresh), len(self.model.languages)), np.float32), size.copy()
+        score, known = np.zeros((len(words), len(self.model.languages)), np.float32), size.copy()
         some = np.flatnonzero(size)
         if len(some):
             hashed, whose, script = grams([plain[i] for i in some.tolist()])
@@ -135,9 +143,7 @@ class Scorer:
             known[some[foreign]] = 0
             allowed[foreign] = True
             score[some] = np.where(allowed, score[some] / len(SIZES), -1e4)
-        self.scores = np.concatenate([self.scores, score])
-        self.letters = np.concatenate([self.letters, size])
-        self.known = np.concatenate([self.known, known])
+        return score, size, known
 
     def words(self, texts: tb.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Scores and letters of all words of a slice, the number of words of each text, and the letters in known scripts."""
@@ -201,25 +207,25 @@ def learn(documents: DataFrame, most: int = SAMPLE, id_col: str = "doc_id", text
     known = d.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id"), PARTS, PART))
 
     def run(batches):
-        total: dict[tuple[str, int], int] = {}
+        total: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang in set(batch.column(1).to_pylist()):
                 own = batch.filter(pa.compute.equal(batch.column(1), lang))
-                for texts in tb.slices(own.column(0)):
+                sums = total.setdefault(lang, np.zeros(BUCKETS + len(SCRIPTS) + 1, np.int64))
+                for texts in tb.slices(own.column(0), tb.SMALL_SLICE_BYTES):
                     cut = tb.words(texts)
                     _, first, count = np.unique(tb.hashes(texts, cut), return_index=True, return_counts=True)
-                    data = texts.data.tobytes()
-                    plain = letters([data[a:b] for a, b in zip(cut.start[first].tolist(), cut.end[first].tolist())])
-                    some = [i for i, w in enumerate(plain) if w]
-                    if some:
-                        hashed, whose, script = grams([plain[i] for i in some])
-                        times = count[some]
-                        sums = np.bincount(hashed, weights=times[whose], minlength=BUCKETS + len(SCRIPTS) + 1)
-                        sums[BUCKETS:] = np.bincount(script, weights=times * np.array([len(plain[i]) for i in some]), minlength=len(SCRIPTS) + 1)
-                        for place in np.flatnonzero(sums).tolist():
-                            total[lang, place] = total.get((lang, place), 0) + int(sums[place])
-        langs = [k[0] for k in total]
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([k[1] for k in total], pa.int32()), pa.array(list(total.values()), pa.int64())], ["lang", "place", "n"])
+                    for at, times in ((first[k : k + SCORED], count[k : k + SCORED]) for k in range(0, len(first), SCORED)):
+                        plain = letters([texts.data[a:b].tobytes() for a, b in zip(cut.start[at].tolist(), cut.end[at].tolist())])
+                        some = [i for i, w in enumerate(plain) if w]
+                        if some:
+                            hashed, whose, script = grams([plain[i] for i in some])
+                            times = times[some]
+                            sums[:BUCKETS] += np.bincount(hashed, weights=times[whose], minlength=BUCKETS).astype(np.int64)
+                            sums[BUCKETS:] += np.bincount(script, weights=times * np.array([len(plain[i]) for i in some]), minlength=len(SCRIPTS) + 1).astype(np.int64)
+        for lang, sums in total.items():
+            place = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(place), pa.string()), pa.array(place, pa.int32()), pa.array(sums[place])], ["lang", "place", "n"])
 
     counts = sampled_of_each(known, "id", "lang", most).select("text", "lang").mapInArrow(run, "lang string, place int, n long")
     got = counts.groupBy("lang", "place").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS + scripts a language
@@ -264,7 +270,7 @@ def identify(documents: DataFrame, model: Model, with_spans: bool = True, id_col
     def run(batches):
         own, held, words = scorer(model), [], 0
         for batch in batches:
-            for texts in tb.slices(batch.column(1)):
+            for texts in tb.slices(batch.column(1), tb.SMALL_SLICE_BYTES):
                 held.append((batch.column(0).slice(texts.first, len(texts)), *own.words(texts)))
                 words += len(held[-1][1])
                 if words >= TOGETHER:
@@ -297,7 +303,7 @@ def accepted(documents: DataFrame, model: Model, least: float = 0.5, text_col: s
         own = scorer(model)
         for batch in batches:
             found, held, words = [np.zeros(0)], [], 0
-            for texts in tb.slices(batch.column(place)):
+            for texts in tb.slices(batch.column(place), tb.SMALL_SLICE_BYTES):
                 held.append(own.words(texts))
                 words += len(held[-1][1])
                 if words >= TOGETHER:

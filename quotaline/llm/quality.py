@@ -115,7 +115,7 @@ def learn(documents: DataFrame, labels: DataFrame, most: int = SAMPLE, label_col
     def run(batches):
         for batch in batches:
             y = batch.column(2)
-            for texts in tb.slices(batch.column(1)):
+            for texts in tb.slices(batch.column(1), tb.SMALL_SLICE_BYTES):
                 x = shapes().features(texts)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(texts.first, len(texts)), y.slice(texts.first, len(texts)), pa.array(list(x), pa.list_(pa.float64()))], ["id", "y", "x"])
 
@@ -134,7 +134,7 @@ def scored(documents: DataFrame, model: gam.Gam, id_col: str = "doc_id", text_co
 
     def run(batches):
         for batch in batches:
-            for texts in tb.slices(batch.column(1)):
+            for texts in tb.slices(batch.column(1), tb.SMALL_SLICE_BYTES):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(texts.first, len(texts)), pa.array(model.score(shapes().features(texts)))], ["id", "score"])
 
     return documents.select(documents[id_col].alias("id"), documents[text_col].alias("text")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
@@ -147,7 +147,7 @@ def accepted(documents: DataFrame, model: gam.Gam, threshold: float = 0.7, text_
 
     def run(batches):
         for batch in batches:
-            score = [model.score(shapes().features(texts)) for texts in tb.slices(batch.column(place))]
+            score = [model.score(shapes().features(texts)) for texts in tb.slices(batch.column(place), tb.SMALL_SLICE_BYTES)]
             yield batch.filter(pa.array(np.concatenate([np.zeros(0), *score]) >= threshold))
 
     return documents.mapInArrow(run, documents.schema)

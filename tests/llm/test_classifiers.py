@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -174,3 +175,18 @@ def test_languages_that_were_not_learned_are_rejected(spark):
     odd = {1: words["en"], 2: "в доме и в саду было много людей которые пели песни", 3: "家の中と庭には歌う人がたくさんいました", 4: words["de"] + " " + words["en"], 5: words["en"] + " в доме и в саду было много людей которые пели песни и ели вкусный хлеб", 6: None, 7: "12 34"}
     docs = spark.createDataFrame(list(odd.items()), "doc_id long, text string")
     assert {r.doc_id for r in language.accepted(docs, model).collect()} == {1, 4}
+
+
+def test_new_words_are_scored_a_few_at_a_time(monkeypatch):
+    rng = np.random.default_rng(3)
+    words = [bytes(w) for w in rng.integers(97, 123, (60_000, 10), dtype=np.uint8)]
+    model = language.Model(["a", "b", "c"], rng.normal(size=(language.BUCKETS, 3)).astype(np.float32), np.ones((len(language.SCRIPTS) + 1, 3), bool))
+    few, all_ = language.Scorer(model), language.Scorer(model)
+    tracemalloc.start()
+    few._make(words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    monkeypatch.setattr(language, "SCORED", 1 << 20, raising=False)
+    all_._make(words)
+    assert (few.scores == all_.scores).all() and (few.letters == all_.letters).all() and (few.known == all_.known).all()
