@@ -213,3 +213,43 @@ def test_bounds_of_files_are_found_without_sorting(spark, frames, tmp_path):
         "2024-01": [{"rows": 2, "low": "2024-01-02", "high": "2024-01-05", "undated": 0, "low_rep": "R0", "high_rep": "R1"}],
         "none": [{"rows": 1, "low": None, "high": None, "undated": 1, "low_rep": "R0", "high_rep": "R0"}],
     }
+
+
+def test_details_are_written_some_months_at_a_time(spark, frames, tmp_path, monkeypatch):
+    """With the same rows as at once, months in their folders, nothing left beside them, and shuffles gone."""
+    monkeypatch.setattr(session, "PASS_BYTES", 1)
+    rows = [{"invoice_id": f"I{i}", "rep_id": [None, "R1", "R2"][i % 3], "invoice_date": None if i % 11 == 0 else f"2024-{1 + i % 12:02d}-05"} for i in range(120)]
+    raw = {"invoices": frames.invoices(*rows), "sales_reps": frames.reps({"rep_id": "R1", "rep_name": "Ann"}, {"rep_id": "R2", "rep_name": "Bob"}), "customers": frames.customers({"customer_id": "C1", "customer_name": "Acme"}), "orders": frames.orders({}), "deals": frames.deals({}, {"deal_id": "D2", "expected_close_date": None})}
+    silvers = {}
+    for n, r in raw.items():
+        refresh.SILVER[n](r).write.parquet(f"{tmp_path}/silver/{n}")
+        silvers[n] = spark.read.parquet(f"{tmp_path}/silver/{n}")
+    before = shuffle_files(spark)
+    refresh.refresh_gold(silvers, f"{tmp_path}/gold")
+    assert shuffle_files(spark) <= before and spark.conf.get(session.FREED, "false") == "false"
+    (version,) = tmp_path.glob("gold/version-*")
+    assert len(list(version.glob("tables/gold_invoice_details/new-*"))) == 8 and not (version / "facts").exists()
+    tables = snapshot.read_gold(spark, f"{tmp_path}/gold")
+    for name, made in refresh.GOLD.items():
+        assert Counter(tables[name].select(*made(silvers).columns).collect()) == Counter(made(silvers).collect()), name
+
+
+def shuffle_files(spark):
+    from pathlib import Path
+
+    top = Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath())
+    return {f for f in top.rglob("shuffle_*")}
+
+
+def test_copies_are_made_some_regions_at_a_time(spark, tmp_path, monkeypatch):
+    lake = catalog.Lake(spark, SMALL)
+    wanted = {name: Counter(rows.collect()) for name, rows in lake.gold.items()}
+    monkeypatch.setattr(session, "PASS_BYTES", 1)
+    written = []
+    monkeypatch.setattr(snapshot, "ranged", lambda rows, *a: written.append(ranged(rows, *a)) or written[-1])
+    before = shuffle_files(spark)
+    snapshot.snapshot_sync(dict(lake.gold), str(tmp_path))
+    assert shuffle_files(spark) <= before
+    assert len(written) > 2 * len(lake.gold) and not list(tmp_path.glob("version-*/aside/*"))
+    for name, rows in snapshot.read_gold(spark, str(tmp_path)).items():
+        assert Counter(rows.collect()) == wanted[name], name
